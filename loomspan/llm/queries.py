@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import op8_mixing
+from .near_dup import op3_minhash
 
 QUERIES = {
+    "op3_minhash": op3_minhash,
     "op8_mixing": op8_mixing,
 }
 
