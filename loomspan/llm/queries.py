@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .mixing import op8_mixing
 from .near_dup import op3_minhash
+from .quality import op1_quality
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_minhash": op3_minhash,
     "op8_mixing": op8_mixing,
 }
