@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from . import line_dedup
+from .line_dedup import op2_line_dedup
 from .mixing import op8_mixing
 from .near_dup import op3_minhash
 from .quality import op1_quality
+from .secrets import op7_secrets
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
+    "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
+}
