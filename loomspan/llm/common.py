@@ -53,7 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def text_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``: from file sizes, without a scan."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(size))
 
 
 def let(value: Column, body) -> Column:

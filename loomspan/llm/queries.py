@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import line_dedup
 from .decontaminate import op6_decontaminate
 from .line_dedup import op2_line_dedup
+from .lm_score import op5_lm_score
 from .mixing import op8_mixing
 from .near_dup import op3_minhash
 from .quality import op1_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
+    "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
