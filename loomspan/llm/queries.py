@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import line_dedup
 from .decontaminate import op6_decontaminate
 from .line_dedup import op2_line_dedup
+from .license_scan import op10_license_scan
 from .lm_score import op5_lm_score
 from .mixing import op8_mixing
 from .near_dup import op3_minhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {

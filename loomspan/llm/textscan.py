@@ -19,6 +19,9 @@ _P_INV = pow(_P, -1, 1 << 64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words of letters and digits: all other ASCII bytes part them.
+IS_MARK = np.ones(256, bool)
+IS_MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -73,12 +76,13 @@ def slices(off: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of all words. ``off`` starts at 0 and ends at len(data)."""
+def word_bounds(data: np.ndarray, off: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of all words. ``off`` starts at 0 and ends at len(data).
+    ``between`` tells which of the 256 bytes part words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = ~IS_SPACE[data]
+    w = ~between[data]
     edge = off[1:-1]
     first = w.copy()
     first[1:] &= ~w[:-1]
