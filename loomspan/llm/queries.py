@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import line_dedup
 from .decontaminate import op6_decontaminate
 from .line_dedup import op2_line_dedup
+from .html_text import op9_html_text
 from .license_scan import op10_license_scan
 from .lm_score import op5_lm_score
 from .mixing import op8_mixing
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
 }
 
