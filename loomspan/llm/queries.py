@@ -12,11 +12,13 @@ from .mixing import op8_mixing
 from .near_dup import op3_minhash
 from .quality import op1_quality
 from .secrets import op7_secrets
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
