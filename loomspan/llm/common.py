@@ -66,9 +66,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({JAVA_WORD})"), F.lit(1))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` as one struct column ``_row`` beside the given columns.
+
+    What an operator adds can't clash with columns that it only carries along: ``_row.*`` gives
+    them back as they were."""
+    return docs.select(F.struct("*").alias("_row"), *[c.alias(k) for k, c in columns.items()])
 
 
 def joined_if_small(left: DataFrame, right: DataFrame, on: list[str], how: str, most_rows: int) -> DataFrame:

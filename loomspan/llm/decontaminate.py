@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_if_small, table, written
+from .common import joined_if_small, packed, table, written
 
 #: Masks over SPAN tokens: the places that count. The others may hold anything.
 SPAN = 8
@@ -107,5 +107,5 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark passage go."""
     found = written(leaks(docs, table(spark, sf_dir, "benchmark")).select("r1", "r2").distinct(), "dc-found")
-    rows = docs.withColumns({"r1": F.xxhash64("doc_id", "text"), "r2": F.xxhash64(F.lit(7), "text", "doc_id")})
-    return joined_if_small(rows, found, ["r1", "r2"], "left_anti", SMALL).select(*docs.columns)
+    rows = packed(docs, r1=F.xxhash64("doc_id", "text"), r2=F.xxhash64(F.lit(7), "text", "doc_id"))
+    return joined_if_small(rows, found, ["r1", "r2"], "left_anti", SMALL).select("_row.*")

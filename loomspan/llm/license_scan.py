@@ -14,8 +14,9 @@ from .license_texts import TEMPLATES
 
 #: Words in a fingerprint, and how many neighbouring fingerprints one is chosen from.
 GRAM, WINDOW = 3, 4
-#: How far an alignment may leave the diagonal that a hit proposes, in words.
-BAND = 12
+#: How far an alignment may leave the diagonal that a hit proposes, in words: a quarter of the
+#: template's length, within these bounds.
+BAND_LEAST, BAND = 2, 12
 #: Least share of a template's words that must match; short templates must match nearly whole.
 COVERAGE, SHORT, SHORT_COVERAGE = 0.6, 20, 0.8
 
@@ -96,13 +97,14 @@ def found_in(h: np.ndarray, hits: list[tuple[int, int, int]], index: Index) -> l
     hits = sorted(set(h[:2] for h in hits))
     while k < len(hits):
         t, begin = hits[k]
+        a = index.words[t]
+        band = min(BAND, max(BAND_LEAST, len(a) // 4))
         end = k + 1
-        while end < len(hits) and hits[end][0] == t and hits[end][1] - begin <= BAND:
+        while end < len(hits) and hits[end][0] == t and hits[end][1] - begin <= band:
             end += 1
-        a = index.words[t]
-        lo = max(0, begin - BAND)
-        b = h[lo : begin + len(a) + 2 * BAND]
-        matches, first, last = align(a, b, begin - lo)
+        lo = max(0, begin - band)
+        b = h[lo : begin + len(a) + 2 * band]
+        matches, first, last = align(a, b, begin - lo, band)
         need = SHORT_COVERAGE if len(a) < SHORT else COVERAGE
         if matches >= need * len(a):
             out.append((t, matches, lo + first, lo + last))

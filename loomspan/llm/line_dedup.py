@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_if_small, table, written
+from .common import joined_if_small, packed, table, written
 
 #: A line on at least this many distinct sites is boilerplate.
 SITES = 8
@@ -51,7 +51,8 @@ def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def drop_spread_lines(docs: DataFrame, site: str = "source", text: str = "text", sites: int = SITES) -> DataFrame:
-    """``docs`` without the lines of spread_lines, with n_removed; all rows stay.
+    """``docs`` without the lines of spread_lines, with n_removed (which replaces a column of that
+    name); all rows stay.
 
     Lines are compared without outer white space; blank ones stay. A document that would lose
     more than MOST_REMOVED of its characters is left whole: it is a copy that stands on many
@@ -67,12 +68,14 @@ def drop_spread_lines(docs: DataFrame, site: str = "source", text: str = "text",
     n, places = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_places")), F.lit(0))).first()
     if max(n, places) <= SMALL:
         gone = F.broadcast(gone)
-    rows = docs.withColumns({"r1": F.xxhash64("doc_id", text), "r2": F.xxhash64(F.lit(7), text, "doc_id")})
-    out = rows.join(gone, ["r1", "r2"], "left")
-    ours = F.col("_places").isNotNull() & (F.col("_size") <= F.length(text) * MOST_REMOVED)
+    rows = packed(docs, r1=F.xxhash64("doc_id", text), r2=F.xxhash64(F.lit(7), text, "doc_id"))
+    out, whole = rows.join(gone, ["r1", "r2"], "left"), F.col("_row").getField(text)
+    ours = F.col("_places").isNotNull() & (F.col("_size") <= F.length(whole) * MOST_REMOVED)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_places"), lambda i: F.get("_lines", i))
-    out = out.withColumn("_lines", F.when(ours, F.split(F.col(text), "\n")))
-    return out.select(*[F.when(ours, F.array_join(left, "\n")).otherwise(F.col(text)).alias(text) if c == text else docs[c] for c in docs.columns], F.when(ours, F.size("_places")).otherwise(0).cast("long").alias("n_removed"))
+    out = out.withColumn("_lines", F.when(ours, F.split(whole, "\n")))
+    out = out.withColumn("_text", F.when(ours, F.array_join(left, "\n")).otherwise(whole))
+    kept = [F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns if c != "n_removed"]
+    return out.select(*kept, F.when(ours, F.size("_places")).otherwise(0).cast("long").alias("n_removed"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -97,7 +100,8 @@ FROM documents d LEFT JOIN docs USING (doc_id)
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without boilerplate lines, n_chars with them; all documents stay."""
-    out = drop_spread_lines(docs)
+    out = drop_spread_lines(packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

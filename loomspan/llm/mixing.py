@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import JAVA_WORD, table, written
+from .common import JAVA_WORD, packed, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -82,7 +82,7 @@ def rounded(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: float, mo
 
 
 def mix_to_targets(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, rate and copies.
+    """Every row of ``docs`` as the struct _row, with _size, _source_size, _target, _rate and _copies.
 
     Documents enter the optimisation as a histogram (source, size, number), aggregated before
     the shuffle: its rows per source are bounded by the lengths that texts can have, not by
@@ -96,12 +96,11 @@ def mix_to_targets(docs: DataFrame, size: Column, source: str = "source", key: s
     and text are told apart by nothing, so which of them gets the further copy is open, but
     the number of copies is not.
     """
-    d = docs.withColumns({"_size": size.cast("long"), "_source": F.col(source).cast("string")})
-    d = d.withColumn("_h", F.xxhash64(*[c for c in (key, "text") if c in docs.columns]))
+    d = packed(docs, _size=size.cast("long"), _source=F.col(source).cast("string"), _key=F.col(key), _h=F.xxhash64(*[c for c in (key, "text") if c in docs.columns]))
     hist = written(d.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = source_targets(hist.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("_size") * F.col("n")).alias("source_size")), weights, share, most)
 
-    def solve(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_size", ignore_index=True)
         s, n = pdf["_size"].to_numpy(float), pdf["n"].to_numpy(float)
         some = s > 0
@@ -125,9 +124,9 @@ def mix_to_targets(docs: DataFrame, size: Column, source: str = "source", key: s
     r = ranges.withColumnsRenamed({"_source": "_rs", "_size": "_rz", "_part": "_rp"})
     out = d.withColumn("_part", part)
     out = out.join(r, out["_source"].eqNullSafe(r["_rs"]) & (out["_size"] == r["_rz"]) & (out["_part"] == r["_rp"]))
-    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_part").orderBy("_h", key)) + F.col("_before")
+    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_part").orderBy("_h", "_key")) + F.col("_before")
     out = out.withColumn("_copies", F.col("base") + F.when(rank <= F.col("more"), 1).otherwise(0))
-    return out.select(*[docs[c] for c in docs.columns], F.col("_size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"), F.col("_copies"))
+    return out.select("_row", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"), "_copies")
 
 
 def n_words(text: Column) -> Column:
@@ -138,10 +137,12 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     small = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("text"), n_words(F.col("text")).alias("_w"))
     out = mix_to_targets(written(small, "mix-docs"), F.col("_w"))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").cast("long").alias("copies"), F.col("_rate").alias("rate"))
+    return out.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").cast("long").alias("copies"), F.col("_rate").alias("rate"))
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row per copy, numbered by ``copy``; documents without a copy go."""
+    """Pipeline stage: one row per copy, numbered by ``copy`` (which replaces a column of that name);
+    documents without a copy go."""
     out = mix_to_targets(docs, n_words(F.col("text")))
-    return out.filter(F.col("_copies") > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    copies = out.filter(F.col("_copies") > 0).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    return copies.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c != "copy"], F.col("_copy").alias("copy"))
