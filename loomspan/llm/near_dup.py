@@ -75,24 +75,25 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             node.append(node_of(s))
             sig.append(signature(s) if len(s) else np.zeros(COORDS, np.int32))
-        flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDS), flat)
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], ["doc_id", "n", "node", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(sig)], ["doc_id", "n", "node", "sig"])
+
+
+def _lists(sig: list[np.ndarray]) -> pa.Array:
+    flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * COORDS), flat)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = list(shingle_sets(b.column(0)))
-        sig = [signature(s).tobytes() for s in found]
-        yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "sig", "grams"])
+        sig = _lists([signature(s) for s in found])
+        yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), sig, pa.array([s.tobytes() for s in found], pa.binary())], ["node", "sig", "grams"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for i, (x, y, p, q) in enumerate(zip(*(b.column(c) for c in ("sig_a", "sig_b", "grams_a", "grams_b")))):
-            if (np.frombuffer(x.as_py(), np.int32) == np.frombuffer(y.as_py(), np.int32)).sum() < MATCHES:
-                continue
+        for i, (p, q) in enumerate(zip(b.column("grams_a"), b.column("grams_b"))):
             s, t = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
             both = len(np.intersect1d(s, t, assume_unique=True))
             if 100 * both >= PERCENT * (len(s) + len(t) - both):
@@ -101,10 +102,18 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures and full sets agree enough."""
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("grams").alias(f"grams_{side}")), side)
-    return pairs.mapInArrow(_confirmed, "a long, b long")
+    """The pairs (a, b) whose signatures collide often enough and whose full sets confirm it.
+
+    Only pairs that pass the first test move full sets.
+    """
+
+    def both(found: DataFrame, what: str) -> DataFrame:
+        for side in "ab":
+            found = found.join(sets.select(F.col("node").alias(side), F.col(what).alias(f"{what}_{side}")), side)
+        return found
+
+    same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
+    return both(both(pairs, "sig").filter(same >= MATCHES).select("a", "b"), "grams").mapInArrow(_confirmed, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -142,7 +151,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = joined_if_small(on, needed, ["doc_id"], "left_semi", SMALL)
     if needed.filter("doc_id is null").limit(1).count():
         texts = texts.unionByName(on.filter("doc_id is null"))
-    sets = written(texts.select("text").mapInArrow(_sets, "node long, sig binary, grams binary"), "nd-sets")
+    sets = written(texts.select("text").mapInArrow(_sets, "node long, sig array<int>, grams binary"), "nd-sets")
 
     lists = prefix.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     first = prefix.join(lists, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
