@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textscan as ts
-from .common import joined_if_small, table, written
+from .common import joined_if_small, packed, table, written
 from .graph import components
 
 K = 5
@@ -75,7 +75,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             node.append(node_of(s))
             sig.append(signature(s) if len(s) else np.zeros(COORDS, np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(sig)], ["doc_id", "n", "node", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(sig)], ["doc_id", "text_hash", "n", "node", "sig"])
 
 
 def _lists(sig: list[np.ndarray]) -> pa.Array:
@@ -117,7 +117,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> every row as (doc_id, n_shingles, class_id, class_size, n_links, component_id, kept).
+    """(doc_id, text) -> every row as (doc_id, text_hash, n_shingles, class_id, class_size, n_confirmed,
+    component_id, kept).
 
     1. Rows with equal shingle sets form a class; from here on only classes count, so
        thousands of copies are one node. A class is named by a 64-bit hash of its set.
@@ -133,11 +134,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        are made: they can't change the result. Every pair across components is compared, so
        no link that joins two components is lost but by the chance stated at MATCHES.
 
-    ``n_links`` counts the confirmed links of the row's class; copies of the row count as
-    class_size - 1 more. Rows without words are linked with nothing. A null doc_id stands for
+    ``n_confirmed`` counts the links of the row's class that were compared and confirmed: enough to
+    connect its component, and all that lead from one hub to a member. Rows without words are linked with nothing. A null doc_id stands for
     no id: it never names a component unless all ids of it are null. Repeated rows are copies.
     """
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signed, "doc_id long, n long, node long, sig array<int>"), "nd-rows")
+    on = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(on.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signed, "doc_id long, text_hash long, n long, node long, sig array<int>"), "nd-rows")
     classes = written(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nd-classes")
     posts = classes.select("node", F.posexplode("sig").alias("c", "v")).select("node", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")).alias("key"))
     often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
@@ -147,7 +149,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # full sets of the classes that any candidate pair can have
     needed = prefix.select("node").distinct().join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
     needed = written(needed, "nd-needed")
-    on = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = joined_if_small(on, needed, ["doc_id"], "left_semi", SMALL)
     if needed.filter("doc_id is null").limit(1).count():
         texts = texts.unionByName(on.filter("doc_id is null"))
@@ -167,37 +168,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _verify(second, sets)
     links = written(links.unionByName(more).distinct(), "nd-all")
     comps = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_confirmed"))
     nodes = classes.select("node", "rep", "class_size").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = nodes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    nodes = nodes.join(ids, "comp").join(degree, "node", "left").select("node", F.col("rep").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(nodes, "node", "left")
+    nodes = nodes.join(ids, "comp").join(degree, "node", "left").select("node", F.col("rep").alias("class_id"), "class_size", F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), "component_id")
+    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(nodes, "node", "left")
     alone = F.col("n_shingles") == 0
     return out.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("n_confirmed", "text_hash")
 
 
 def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one document stays, the one with the smallest id.
 
-    Rows that repeat the kept id and text stay once. Documents without words are in no
-    component and stay, and so do rows without an id.
+    Rows are told apart by id and text: rows equal in both stay once, and an id with two texts
+    can lose one of them. Documents without words are in no component and stay, and so do
+    rows without an id.
     """
-    found = written(near_duplicates(docs), "nd-found")
-    out = joined_if_small(docs, found.filter("not kept and doc_id is not null").select("doc_id").distinct(), ["doc_id"], "left_anti", SMALL)
-    twice = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    found = written(near_duplicates(docs), "nd-found").filter("doc_id is not null").select("doc_id", "text_hash", "kept")
+    key = ["_id", "_hash"]
+    named = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept")
+    out = packed(docs, _id=F.col("doc_id").cast("long"), _hash=F.xxhash64(F.col("text").cast("string")))
+    out = joined_if_small(out, named.filter("not kept").select(key).distinct(), key, "left_anti", SMALL)
+    twice = named.filter("kept").groupBy(key).count().filter("count > 1").select(key)
     if twice.limit(1).count():
         twice = written(twice, "nd-twice")
-        once = joined_if_small(out, twice, ["doc_id"], "left_anti", SMALL)
-        out = once.unionByName(joined_if_small(out, twice, ["doc_id"], "left_semi", SMALL).dropDuplicates(["doc_id", "text"]))
-    return out
+        once = joined_if_small(out, twice, key, "left_anti", SMALL)
+        out = once.unionByName(joined_if_small(out, twice, key, "left_semi", SMALL).dropDuplicates(key))
+    return out.select("_row.*")

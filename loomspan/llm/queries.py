@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, oracles
 from .decontaminate import op6_decontaminate
 from .line_dedup import op2_line_dedup
 from .html_text import op9_html_text
@@ -28,5 +28,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality": oracles.quality(),
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_minhash": oracles.MINHASH,
+    "op4_suffix_dedup": oracles.SUFFIX,
+    "op7_secrets": oracles.secrets(),
 }

@@ -21,6 +21,7 @@ def documents(seed=0):
     one very long text, empty and null values, equal rows, and one id with two texts."""
     rng = random.Random(seed)
     shared = sentence(rng, 60)
+    near = sentence(rng, 120)
     banner = "Read more of this on the front page of all our sites"
     rows = []
 
@@ -35,7 +36,7 @@ def documents(seed=0):
             lines.append(shared)
         add(i, "\n".join(lines), f"site{i % 10}")
     for i in range(60, 75):  # near copies of one text
-        w = words(rows[1][1])
+        w = words(near)
         for k in range(i % 4):
             w[rng.randrange(len(w))] = f"x{i}{k}"
         add(i, " ".join(w))
