@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .cells import cell_count, ranges, with_cell
-from .common import table
+from .cells import cell_count, give_back, ranges, with_cell
+from .common import joined_if_small, table, written
 
 LENGTH = 50
 #: Bytes of an anchor, and the places in a string of LENGTH bytes where one can begin: the
@@ -25,8 +25,12 @@ RUN_MOST = 64
 HOT_CELLS = 256
 #: A difference cover modulo V: every difference modulo V is one of two members of COVER.
 V, COVER = 16, (0, 1, 2, 5, 8)
-#: Suffixes sorted at a time.
-BLOCK = 1 << 18
+#: Suffixes sorted at a time, and bytes of contexts compared at a time.
+BLOCK, PART = 1 << 18, 1 << 21
+#: Texts with copies that are broadcast at most (24 bytes each).
+SMALL = 500_000
+#: Bytes of stored Parquet that make a cell, about 7 MB of text.
+CELL = 4 << 20
 #: Stands for a null id: larger than every id.
 NO_ID = np.iinfo(np.int64).max
 LOW = np.uint64(0xFFFF)
@@ -119,6 +123,7 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
 
 
 def _columns(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
+    give_back()
     return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
 
@@ -283,12 +288,37 @@ def least_ids(text: np.ndarray, off: np.ndarray, ids: np.ndarray) -> tuple[np.nd
 
 
 def _resolved(t: pa.Table) -> pa.Table:
-    """One range of anchors: for every cell's contexts a bit for each string that a smaller id has."""
+    """One range of anchors: for every cell's contexts a bit for each string that a smaller id has.
+
+    The range is worked through in parts of its keys, so that the arrays of one part, not
+    those of the whole range, are in memory at a time."""
     ns, cells, part = t["n"].to_pylist(), t["cell"].to_pylist(), t["part"][0].as_py()
-    key = np.concatenate([unpacked(b.as_py(), n) for b, n in zip(t["keys"], ns)])
-    size = np.concatenate([np.frombuffer(b.as_py(), np.uint8) for b in t["sizes"]]).astype(np.int64)
-    ids = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in t["ids"]])
-    text = np.concatenate([np.frombuffer(b.as_py(), np.uint8) for b in t["bytes"]])
+    keys = [unpacked(b.as_py(), n) for b, n in zip(t["keys"], ns)]
+    sizes = [np.frombuffer(b.as_py(), np.uint8) for b in t["sizes"]]
+    ids = [np.frombuffer(b.as_py(), np.int64) for b in t["ids"]]
+    texts = [np.frombuffer(b.as_py(), np.uint8) for b in t["bytes"]]
+    offs = [np.r_[0, np.cumsum(s.astype(np.int64) + LENGTH - 1)] for s in sizes]
+    every = np.sort(np.concatenate(keys))
+    n_parts = max(1, -(-sum(len(x) for x in texts) // PART))
+    edges = np.unique(every[[i * len(every) // n_parts for i in range(1, n_parts)]]) if n_parts > 1 else every[:0]
+    del every
+    cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k in keys]
+    masks: list[list[np.ndarray]] = [[] for _ in keys]
+    for i in range(len(edges) + 1):
+        mine = [(k, c[i], c[i + 1]) for k, c in enumerate(cuts)]
+        found = _answers(*(np.concatenate([x[k][a:z] for k, a, z in mine]) for x in (keys, sizes, ids)), np.concatenate([texts[k][offs[k][a] : offs[k][z]] for k, a, z in mine]))
+        at = 0
+        for k, a, z in mine:
+            masks[k].append(found[at : at + z - a])
+            at += z - a
+    return _columns([(cell, part, 3, n, None, np.concatenate(m).tobytes(), None, None, None) for cell, n, m in zip(cells, ns, masks)], FACTS, FACT_KINDS)
+
+
+def _answers(key: np.ndarray, size: np.ndarray, ids: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For contexts (key, number of strings, least id, bytes) the bits of the strings that a smaller id has."""
+    if not len(key):
+        return np.zeros(0, np.uint64)
+    size = size.astype(np.int64)
     off = np.r_[0, np.cumsum(size + LENGTH - 1)]
     # equal contexts first: the inside of a repeat
     h = range_hashes(text, off, off[:-1], np.diff(off))
@@ -310,17 +340,12 @@ def _resolved(t: pa.Table) -> pa.Table:
         at, best = least_ids(gathered(text, off[first[some]], n[some] + LENGTH - 1), part_off, low[some])
         c = np.searchsorted(part_off, at, side="right") - 1
         least[to[some[c]] + at - part_off[c]] = best
-    out, at = [], 0
-    for cell, m in zip(cells, ns):
-        w = which[at : at + m]
-        owner = np.repeat(np.arange(m), n[w])
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(n[w]) - n[w], n[w])
-        hit = least[to[w[owner]] + inner] < ids[at + owner]
-        mask = np.zeros(m, np.uint64)
-        np.bitwise_or.at(mask, owner[hit], np.uint64(1) << inner[hit].astype(np.uint64))
-        out.append((cell, part, 3, m, None, mask.tobytes(), None, None, None))
-        at += m
-    return _columns(out, FACTS, FACT_KINDS)
+    owner = np.repeat(np.arange(len(key)), n[which])
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(n[which]) - n[which], n[which])
+    hit = least[to[which[owner]] + inner] < ids[owner]
+    mask = np.zeros(len(key), np.uint64)
+    np.bitwise_or.at(mask, owner[hit], np.uint64(1) << inner[hit].astype(np.uint64))
+    return mask
 
 
 OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -344,7 +369,8 @@ def _removed(t: pa.Table, facts: pa.Table) -> pa.Table:
     hit = (mask[context[owner]] >> inner.astype(np.uint64)) & np.uint64(1) > 0 if len(owner) else np.zeros(0, bool)
     np.add.at(step, start[owner[hit]] + inner[hit], 1)
     np.add.at(step, start[owner[hit]] + inner[hit] + LENGTH, -1)
-    gone = np.cumsum(step[:-1]) > 0
+    np.cumsum(step, out=step)
+    gone = step[:-1] > 0
     rows, keep_text = [], "keep_text" in t.column_names
     for i, x in enumerate(t["doc_id"].to_pylist()):
         g, d = gone[off[i] : off[i + 1]], data[off[i] : off[i + 1]]
@@ -362,6 +388,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_cells: int = HO
     id goes; strings are judged on the input. Each string has an anchor inside it, the
     smallest-hashed run of ANCHOR bytes, wherever the string stands. So:
 
+    0. Copies of a whole text with a smaller id lose all of it (if it has LENGTH bytes) and
+       leave here; a text is known by 128 bits of hashes.
     1. Cells of documents post their distinct anchors; hash ranges of anchors tell which of them
        two documents share. Most text has none and is done.
     2. Cells post the distinct strings around their shared anchors, strings in a row together,
@@ -376,18 +404,25 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_cells: int = HO
     A null text is empty. A null id counts as larger than every id: its text removes nothing and
     is removed where an id has it. Texts of rows with equal ids don't remove each other.
     """
-    n_cells = cell_count(docs)
+    n_parts = n_cells = cell_count(docs, CELL)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if keep_text:
-        d = d.withColumn("keep_text", F.lit(True))
-    n_parts = n_cells
+    key = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")}
+    copied = d.select("doc_id", *[v.alias(k) for k, v in key.items()]).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null")
+    d = joined_if_small(d.withColumns(key), written(copied.select("h1", "h2", "first_id"), "sd-copied"), ["h1", "h2"], "left", SMALL)
+    d = d.withColumn("copy", F.col("first_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    copies, size = d.filter("copy"), F.octet_length("text").cast("long")
+    whole = size >= LENGTH
+    rest = F.when(whole, "").otherwise(F.col("text"))
+    copies = copies.select("doc_id", size.alias("n_bytes"), F.when(whole, size).otherwise(0).alias("n_removed"), whole.cast("long").alias("n_spans"), F.sha2(rest, 256).alias("kept_sha256"), (rest if keep_text else F.lit(None)).cast("binary").alias("kept"))
+    d = d.filter("not copy").select("doc_id", "text", *([F.lit(True).alias("keep_text")] if keep_text else []))
     celled = with_cell(d, n_cells)
     anchors = celled.groupBy("cell").applyInArrow(_anchored(n_parts), FACT_SCHEMA)
     marks = anchors.groupBy("part").applyInArrow(_shared(hot_cells), FACT_SCHEMA)
     sent = celled.groupBy("cell").cogroup(marks.groupBy("cell")).applyInArrow(_sent(n_parts), FACT_SCHEMA)
     answers = sent.groupBy("part").applyInArrow(_resolved, FACT_SCHEMA)
     facts = marks.unionByName(answers)
-    return celled.groupBy("cell").cogroup(facts.groupBy("cell")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = celled.groupBy("cell").cogroup(facts.groupBy("cell")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return found.unionByName(copies)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def brute_repeats(rows, length=50):
 
 @pytest.mark.parametrize(("n_cells", "hot"), [(1, 256), (5, 256), (6, 1)])
 def test_repeats(docs, monkeypatch, n_cells, hot):
-    monkeypatch.setattr(suffix_dedup, "cell_count", lambda d: n_cells)
+    monkeypatch.setattr(suffix_dedup, "cell_count", lambda *_: n_cells)
     rows = cases.documents()
     got = suffix_dedup.remove_repeats(docs, keep_text=True, hot_cells=hot).collect()
     assert cases.spread((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == cases.spread(brute_repeats(rows))
