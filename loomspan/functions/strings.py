@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 #: The characters that Python's str.strip() and str.split() take as white space.
 SPACE = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: A private-use character that marks where a text is cut.
 CUT = "\ue000"
 
 
 def strip(text: Column) -> Column:
     """str.strip()"""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def filled(text: Column) -> Column:
