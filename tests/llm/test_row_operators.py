@@ -154,6 +154,31 @@ def test_decontamination(spark, docs, tmp_path):
     assert cases.spread(out.select("doc_id", "r1").collect()) == cases.spread(docs.select("doc_id", "r1").collect())
 
 
+def test_decontamination_counts_different_tokens(spark):
+    """Repeats of one phrase count once; pieces of a passage far apart on a diagonal add up; short items may lose a fifth."""
+    item = lambda k, n: [f"i{k}t{j}" for j in range(n)]
+    items = [item(0, 40), item(1, 40), item(2, 8), item(3, 12), item(4, 30), item(5, 12)]
+    items[4][20:28] = items[4][2:10]  # holds a phrase twice
+    pad = [f"pad{j}" for j in range(50)]
+    swap = lambda t, at: [f"x{j}" if j in at else w for j, w in enumerate(t)]
+    texts = [
+        pad + items[0][10:18] + pad[:9] + items[0][10:18] + pad,
+        pad + swap(items[1], range(10, 30)) + pad,
+        *[pad + swap(items[2], [j]) + pad for j in range(8)],
+        pad + swap(items[2], [1, 5]) + pad,
+        pad + swap(items[3], [0, 11]) + pad,
+        pad + swap(items[3], [3, 6, 9]) + pad,
+        pad + items[4][2:10] + pad,
+        pad + items[0][:7] + pad * 40 + items[0][30:37] + pad,
+        items[5][:5] + ["x", "y"] + items[5][7:],
+    ]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matches, r.first_token, r.last_token) for r in decontaminate.leaks(d, b).collect()}
+    want = {(1, 1): (20, 50, 89), **{(2 + j, 2): (7, 50, 57) for j in range(8)}, (11, 3): (10, 50, 61), (15, 5): (10, 0, 11)}
+    assert got == want
+
+
 def test_licenses(spark):
     mit = dict(license_scan.TEMPLATES)  # the last of a name
     full = license_scan.TEMPLATES[0][1]
