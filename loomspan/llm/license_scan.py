@@ -19,6 +19,9 @@ GRAM, WINDOW = 3, 4
 BAND_LEAST, BAND = 2, 12
 #: Least share of a template's words that must match; short templates must match nearly whole.
 COVERAGE, SHORT, SHORT_COVERAGE = 0.6, 20, 0.8
+#: Alignments of one template are parts of one license text if they follow each other in both, with
+#: at most GAP words put in between; a part has at least PART_LEAST matches that others lack.
+GAP, PART_LEAST = 200, 8
 
 
 def words_of(data: np.ndarray, off: np.ndarray):
@@ -52,11 +55,11 @@ class Index:
         self.template, self.place = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
 
 
-def align(a: np.ndarray, b: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matches, first, last) of the best local alignment of template ``a`` with words ``b``.
+def align(a: np.ndarray, b: np.ndarray, shift: int, band: int = BAND) -> list[tuple[int, int]]:
+    """The matches (place in ``a``, place in ``b``) of the best local alignment of template ``a`` with words ``b``.
 
     Word i of the template may meet words i + shift - band to i + shift + band of ``b``.
-    A match adds 1; a mismatch or a gap takes 1. first and last are places in ``b``, -1 if none.
+    A match adds 1; a mismatch or a gap takes 1.
     """
     w = 2 * band + 1
     score = np.zeros((len(a) + 1, w), np.int32)  # column c of row i: word i - 1 + shift - band + c
@@ -71,12 +74,10 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, band: int = BAND) -> tuple[i
         s = np.where(there, np.maximum(s, 0), 0)
         score[i] = np.maximum(np.maximum.accumulate(s + step) - step, 0)
     i, c = np.unravel_index(int(np.argmax(score)), score.shape)
-    matches, first, last = 0, -1, -1
+    found = []
     while i > 0 and score[i, c] > 0:
         if hit[i, c] and score[i, c] == score[i - 1, c] + 1:
-            matches += 1
-            first = i - 1 + shift - band + c
-            last = first if last < 0 else last
+            found.append((int(i) - 1, int(i - 1 + shift - band + c)))
             i -= 1
         elif c + 1 < w and score[i, c] == score[i - 1, c + 1] - 1:
             i, c = i - 1, c + 1
@@ -84,16 +85,48 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, band: int = BAND) -> tuple[i
             c -= 1
         else:
             i -= 1
-    return matches, int(first), int(last)
+    return found[::-1]
+
+
+def chained(parts: list[list[tuple[int, int]]], size: int) -> list[tuple[int, int, int]]:
+    """(matches, first, last) of the texts that the alignments of a template of ``size`` words make up, alone or in a row.
+
+    Of chains that share a part, the one with most matches counts.
+    """
+    parts = sorted(parts, key=lambda p: (p[0][1], p[-1][1]))
+    need = (SHORT_COVERAGE if size < SHORT else COVERAGE) * size
+    total, before = [len(p) for p in parts], [-1] * len(parts)
+    for k, q in enumerate(parts):
+        for m in range(k - 1, -1, -1):
+            if q[0][1] - parts[m][0][1] > GAP + 2 * (size + BAND):
+                break
+            i, j = parts[m][-1]
+            own = [x for x in q if x[0] > i and x[1] > j]
+            if len(own) >= PART_LEAST and len(q) - len(own) < PART_LEAST and len(parts[m]) >= PART_LEAST and own[0][1] - j - (own[0][0] - i) <= GAP and total[m] + len(own) > total[k]:
+                total[k], before[k] = total[m] + len(own), m
+    out, used = [], set()
+    for k in sorted(range(len(parts)), key=lambda k: (-total[k], parts[k][-1][1])):
+        chain = [k]
+        while before[chain[-1]] >= 0:
+            chain.append(before[chain[-1]])
+        matches = total[k]
+        if used & set(chain):
+            chain, matches = [k], len(parts[k])
+        if matches >= need and not used & set(chain):
+            used |= set(chain)
+            out.append((matches, parts[chain[-1]][0][1], parts[k][-1][1]))
+    return out
 
 
 def found_in(h: np.ndarray, hits: list[tuple[int, int, int]], index: Index) -> list[tuple[int, int, int, int]]:
     """(template, matches, first, last) for one text's words; hits: (template, begin, place).
 
-    Hits of one template whose proposed beginnings lie within the band are one candidate. A
-    match inside another with as many matches or more is left out.
+    Hits of one template whose proposed beginnings lie within the band are one candidate. The
+    candidates' alignments are chained before their coverage is judged, so words put into a
+    license text don't hide it. A match inside another with as many matches or more is left out.
     """
-    out, k = [], 0
+    parts: dict[int, list] = {}
+    k = 0
     hits = sorted(set(h[:2] for h in hits))
     while k < len(hits):
         t, begin = hits[k]
@@ -104,11 +137,12 @@ def found_in(h: np.ndarray, hits: list[tuple[int, int, int]], index: Index) -> l
             end += 1
         lo = max(0, begin - band)
         b = h[lo : begin + len(a) + 2 * band]
-        matches, first, last = align(a, b, begin - lo, band)
-        need = SHORT_COVERAGE if len(a) < SHORT else COVERAGE
-        if matches >= need * len(a):
-            out.append((t, matches, lo + first, lo + last))
+        if found := align(a, b, begin - lo, band):
+            parts.setdefault(t, []).append([(i, lo + j) for i, j in found])
         k = end
+    out = []
+    for t, found in parts.items():
+        out += [(t, *x) for x in chained(found, len(index.words[t]))]
     out.sort(key=lambda x: (-x[1], x[2], x[3], x[0]))
     kept: list[tuple[int, int, int, int]] = []
     for x in out:
@@ -152,8 +186,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES)
 
     Fingerprints of GRAM words of every document are looked up in the inverted index of the
     templates' winnowed fingerprints; each proposes where a template would begin, and a banded
-    alignment there gives matched words, coverage of the template, and the span in code
-    points. The index holds the templates alone and doesn't grow with the data; nothing is
+    alignment there gives matched words; alignments of one template that follow each other are
+    one text, with their coverage of the template and the span in code points. The index holds the templates alone and doesn't grow with the data; nothing is
     shuffled. Documents without a license text, null texts among them, give no row; equal rows
     give equal rows. A template of fewer than GRAM words has no fingerprint and isn't found.
     """

@@ -195,6 +195,18 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_license_with_words_put_in(spark):
+    """More words than the band between or inside the parts of a license text don't hide it; halves far apart or in the wrong order are none."""
+    full = license_scan.TEMPLATES[0][1].split()
+    note = lambda n: [f"note{k}" for k in range(n)]
+    half = next(k for k, w in enumerate(full) if w == "THE" and full[k + 1 : k + 4] == ["SOFTWARE", "IS", "PROVIDED"])
+    third = len(full) // 3
+    texts = [full[:half] + note(20) + full[half:], full[:third] + note(40) + full[third : 2 * third] + note(150) + full[2 * third :], full[:half] + note(250) + full[half:], full[half:] + note(20) + full[:half], full[:half], full + note(5) + full]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, round(r.coverage, 2), r.start == 0) for r in license_scan.scan_licenses(d).collect())
+    assert got == [(0, "MIT", 1.0, True), (1, "MIT", 1.0, True), (5, "MIT", 1.0, False), (5, "MIT", 1.0, True)]
+
+
 def water(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
