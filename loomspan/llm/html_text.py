@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: A run of this many tokens is long; a shorter block counts as a whole.
+#: A run of this many tokens is long; a shorter block counts as a whole, if it is loose.
 RUN = 8
-#: A run is boilerplate if it is on this many distinct pages of a shard and this share of them.
+#: A run is boilerplate if it is in this many distinct page contents of a host and this share of them.
 PAGES_LEAST, PAGES_SHARE = 3, 0.02
-#: Pages of a host in one suffix array. Larger hosts are cut into random shards of about this size.
+#: Page contents of a host in one suffix array. Those of larger hosts are worked through in parts of
+#: about this size; what is boilerplate is decided for the host.
 SHARD = 2000
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -26,6 +27,8 @@ RAW = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "ob
 DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold text of the page: a short block in one of them is loose only if it is all links.
+TEXTUAL = {"p", "li", "dt", "dd", "td", "th", "caption", "figcaption", "blockquote", "pre", "summary", "address"}
 WORDS_DROPPED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adslot", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets"}
 ROLES_DROPPED = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
 #: Elements that a start tag of the key closes, up to the nearest element of the second set.
@@ -57,19 +60,28 @@ def _kind(name: str, attrs: str) -> str:
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
-    """(rank, text) of the visible blocks in page order: rank 2 in an article, 1 in the main
+    """(rank, text) of loose_blocks."""
+    return [b[:2] for b in loose_blocks(page)]
+
+
+def loose_blocks(page: str) -> list[tuple[int, str, bool]]:
+    """(rank, text, loose) of the visible blocks in page order: rank 2 in an article, 1 in the main
     element, 0 elsewhere. What menus, footers, adverts and their like hold is left out; of a
-    header inside an article the headings stay."""
-    out: list[tuple[int, str]] = []
+    header inside an article the headings stay. Loose are blocks that are neither headings nor
+    in a textual element, and blocks other than headings that are all links."""
+    out: list[tuple[int, str, bool]] = []
     stack: list[tuple[str, bool, int, bool]] = []  # name, dropped, rank, in a header
     run: list[str] = []
-    dropped, rank, header, heading = False, 0, False, False
+    dropped, rank, header, heading, plain = False, 0, False, False, False
 
     def close() -> None:
+        nonlocal plain
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            out.append((rank, text))
+            inner = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "")
+            out.append((rank, text, inner not in HEADINGS and not (plain and inner in TEXTUAL)))
         run.clear()
+        plain = False
 
     def back(size: int) -> None:
         nonlocal dropped, rank, header
@@ -82,6 +94,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         text = page[at : m.start() if m else n]
         if text and not dropped and (not header or heading):
             run.append(text)
+            plain = plain or (not text.isspace() and not any(x[0] == "a" for x in stack))
         if not m:
             break
         at = m.end()
@@ -136,15 +149,16 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, sure, rest = [], [], []
+        texts, sure, rest, loose = [], [], [], []
         for page in b.column("html"):
-            found = blocks_of(page.as_py() or "")
-            best = max((r for r, _ in found), default=2)
-            texts.append("\n".join(t for r, t in found if r == best) if best else None)
+            found = loose_blocks(page.as_py() or "")
+            best = max((r for r, _, _ in found), default=2)
+            texts.append("\n".join(t for r, t, _ in found if r == best) if best else None)
             sure.append(best > 0)
-            rest.append([t for r, t in found if r == 0])
-        cols = [b.column(c) for c in ("page_id", "url", "host", "r1", "r2")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(sure, pa.bool_()), pa.array(rest, pa.list_(pa.string()))], ["page_id", "url", "host", "r1", "r2", "text", "sure", "rest"])
+            rest.append([t for r, t, _ in found if r == 0])
+            loose.append([x for r, _, x in found if r == 0])
+        cols = [b.column(c) for c in ("page_id", "url", "host")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(sure, pa.bool_()), pa.array(rest, pa.list_(pa.string())), pa.array(loose, pa.list_(pa.bool_()))], ["page_id", "url", "host", "text", "sure", "rest", "loose"])
 
 
 def depth_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -159,17 +173,18 @@ def depth_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated(blocks: list[str], pages: list[np.ndarray], n_pages: int, least: float, run: int = RUN) -> list[np.ndarray]:
-    """For every distinct block the tokens covered by boilerplate. pages: on which pages it is."""
+def occurrences(blocks: list[str], pages: list[np.ndarray], loose: list[bool], run: int = RUN) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, int]]:
+    """(text, pages, blocks, places, tokens) of every loose short block and of every run of ``run`` tokens:
+    on how many pages it is, and in which blocks at which token. pages: on which pages a block is."""
     toks = [b.split() for b in blocks]
-    size = np.array([len(t) for t in toks])
+    size = np.array([len(t) for t in toks], np.int64)
     names = {t: i for i, t in enumerate(dict.fromkeys(x for t in toks for x in t))}
-    covered = [np.zeros(n, bool) for n in size]
-    for i in np.flatnonzero(size < run):  # short blocks count as a whole
-        covered[i][:] = len(pages[i]) >= least
+    for i in np.flatnonzero(size < run):
+        if loose[i]:
+            yield " ".join(toks[i]), len(pages[i]), np.array([i]), np.array([0]), int(size[i])
     long = np.flatnonzero(size >= run)
     if not len(long):
-        return covered
+        return
     stream, owner, place = [], [], []
     for i in long:
         stream += [names[t] for t in toks[i]] + [len(names) + int(i)]  # each block ends in a token of its own
@@ -182,35 +197,93 @@ def repeated(blocks: list[str], pages: list[np.ndarray], n_pages: int, least: fl
     r, o, p = rank[whole][order], owner[whole][order], place[whole][order]
     edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True])
     for a, z in zip(edge[:-1], edge[1:]):
-        if len(np.unique(np.concatenate([pages[i] for i in np.unique(o[a:z])]))) >= least:
-            for i, q in zip(o[a:z], p[a:z]):
-                covered[i][q : q + run] = True
+        at = np.unique(o[a:z])
+        n = len(pages[at[0]]) if len(at) == 1 else len(np.unique(np.concatenate([pages[i] for i in at])))
+        yield " ".join(toks[o[a]][p[a] : p[a] + run]), n, o[a:z], p[a:z], run
+
+
+def repeated(blocks: list[str], pages: list[np.ndarray], n_pages: int, least: float, run: int = RUN, loose: list[bool] | None = None, known: set[str] | None = None) -> list[np.ndarray]:
+    """For every distinct block the tokens covered by boilerplate: what is on ``least`` pages, or what is ``known``."""
+    covered = [np.zeros(len(b.split()), bool) for b in blocks]
+    for text, n, o, p, size in occurrences(blocks, pages, loose or [True] * len(blocks), run):
+        if n >= least if known is None else text in known:
+            for i, q in zip(o, p):
+                covered[i][q : q + size] = True
     return covered
 
 
-def _host(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard of a host: every page's blocks -> the text of its unsure pages."""
-    index: dict[str, int] = {}
+def _least(pdf: pd.DataFrame) -> float:
+    return max(PAGES_LEAST, PAGES_SHARE * int(pdf["n"].iloc[0]))
+
+
+def _indexed(pdf: pd.DataFrame) -> tuple[dict[tuple[str, bool], int], list[np.ndarray]]:
+    index: dict[tuple[str, bool], int] = {}
     pages: list[list[int]] = []
-    for k, rest in enumerate(pdf["rest"]):
-        for t in dict.fromkeys(rest):
-            i = index.setdefault(t, len(index))
+    for k, (rest, loose) in enumerate(zip(pdf["rest"], pdf["loose"])):
+        for b in dict.fromkeys(zip(rest, map(bool, loose))):
+            i = index.setdefault(b, len(index))
             if i == len(pages):
                 pages.append([])
             pages[i].append(k)
-    least = max(PAGES_LEAST, PAGES_SHARE * len(pdf))
-    covered = repeated(list(index), [np.array(p) for p in pages], len(pdf), least)
+    return index, [np.array(p) for p in pages]
+
+
+def _cleaned(pdf: pd.DataFrame, known: set[str] | None = None) -> pd.DataFrame:
+    """Contents of a host, or with its known boilerplate of a part of it -> the texts of the unsure ones."""
+    index, pages = _indexed(pdf)
+    covered = repeated([b for b, _ in index], pages, len(pdf), _least(pdf), loose=[x for _, x in index], known=known)
     out = []
     for row in pdf[~pdf["sure"]].itertuples():
         kept = []
-        for t in row.rest:
-            c, words = covered[index[t]], t.split(" ")
+        for t, x in zip(row.rest, row.loose):
+            c, words = covered[index[t, bool(x)]], t.split(" ")
             if not c.any():
                 kept.append(t)
             elif not c.all():
-                kept.append(" ".join(w for w, x in zip(words, c) if not x))
-        out.append((row.page_id, row.url, "\n".join(kept)))
-    return pd.DataFrame(out, columns=["page_id", "url", "text"])
+                kept.append(" ".join(w for w, gone in zip(words, c) if not gone))
+        out.append((row.host, row.c1, row.c2, "\n".join(kept)))
+    return pd.DataFrame(out, columns=["host", "c1", "c2", "text"])
+
+
+def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _cleaned(pdf)
+
+
+def _proposed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one part: what could be boilerplate of the host, which some part must hold in its share of the threshold."""
+    index, pages = _indexed(pdf)
+    least = _least(pdf) / int(pdf["parts"].iloc[0])
+    found = {x[0] for x in occurrences([b for b, _ in index], pages, [x for _, x in index]) if x[1] >= least}
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]] * len(found), "run": list(found)})
+
+
+def _counted(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    """Of one part: in how many contents each proposed run is."""
+    if not len(pdf) or not len(runs):
+        return pd.DataFrame({"host": [], "run": [], "n": []})
+    index, pages = _indexed(pdf)
+    wanted = set(runs["run"])
+    found = [(pdf["host"].iloc[0], x[0], x[1]) for x in occurrences([b for b, _ in index], pages, [x for _, x in index]) if x[0] in wanted]
+    return pd.DataFrame(found, columns=["host", "run", "n"])
+
+
+def _part(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    return _cleaned(pdf, set(runs["run"])) if len(pdf) else pd.DataFrame({"host": [], "c1": [], "c2": [], "text": []})
+
+
+def _in_parts(contents: DataFrame) -> DataFrame:
+    """(host, c1, c2, text) of hosts that are worked through in parts, decided by counts over all parts."""
+    key = ["host", "part"]
+    sizes = written(contents.select("host", "n", "parts").distinct(), "html-large")
+
+    def everywhere(runs: DataFrame) -> DataFrame:
+        return runs.join(sizes, "host").select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    proposed = written(contents.groupBy(*key).applyInPandas(_proposed, "host string, run string").distinct(), "html-proposed")
+    counts = contents.groupBy(*key).cogroup(everywhere(proposed).groupBy(*key)).applyInPandas(_counted, "host string, run string, n long")
+    counts = counts.groupBy("host", "run").agg(F.sum("n").alias("on")).join(sizes, "host")
+    runs = written(counts.filter(F.col("on") >= F.greatest(F.lit(float(PAGES_LEAST)), PAGES_SHARE * F.col("n"))).select("host", "run"), "html-runs")
+    return contents.groupBy(*key).cogroup(everywhere(runs).groupBy(*key)).applyInPandas(_part, "host string, c1 long, c2 long, text string")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -220,22 +293,29 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     count against them, since copies of an article are articles. On other pages all blocks
     outside menus and the like are in question. There, the tokens of all such blocks of a
     host's pages are ordered in one suffix array (to the depth of RUN tokens), and runs that
-    stand on enough distinct pages are boilerplate; what they cover goes, and the rest of the
-    page stays. Blocks outside the articles of other pages are evidence too. Large hosts are
-    cut into random shards; as the threshold is a share of pages, a shard decides as its host does.
+    stand in enough distinct page contents are boilerplate; what they cover goes, and the rest of
+    the page stays. Copies of a page count once. Short blocks go only if they are loose (see
+    loose_blocks): headings and short paragraphs or items of text stay, however often they occur.
+    Blocks outside the articles of other pages are evidence too. Large hosts are worked through
+    in parts, whose counts are added up before anything is decided.
 
     A null or empty html gives an empty text. A null url is the host ''. Equal rows give equal
     rows. White space is Unicode's; <br> is white space.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[Ww]{3}\.)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    rows = rows.withColumns({"r1": F.xxhash64("url", "html"), "r2": F.xxhash64("html", "page_id")})
-    parsed = written(rows.mapInArrow(_parsed, "page_id long, url string, host string, r1 long, r2 long, text string, sure boolean, rest array<string>"), "html-parsed")
+    parsed = written(rows.mapInArrow(_parsed, "page_id long, url string, host string, text string, sure boolean, rest array<string>, loose array<boolean>"), "html-parsed")
+    parsed = parsed.withColumns({"c1": F.xxhash64("text", "rest", "loose"), "c2": F.xxhash64(F.lit(7), "rest", "loose", "text")})
     sure = parsed.filter("sure").select("page_id", "url", "text")
-    size = parsed.filter("size(rest) > 0").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("sure")).alias("open")).filter("open")
-    shard = F.pmod(F.xxhash64("r1", "r2"), F.ceil(F.col("n") / SHARD)).alias("shard")
-    found = parsed.filter("size(rest) > 0").join(size, "host").select("host", shard, "page_id", "url", "sure", "rest")
-    found = found.groupBy("host", "shard").applyInPandas(_host, "page_id long, url string, text string")
+    open_ = parsed.filter("not sure and size(rest) > 0").select("host").distinct()
+    contents = parsed.filter("size(rest) > 0").join(open_, "host", "left_semi").select("host", "c1", "c2", "sure", "rest", "loose").dropDuplicates(["host", "c1", "c2"])
+    contents = written(contents, "html-contents")
+    size = written(contents.groupBy("host").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / SHARD)), "html-hosts")
+    contents = contents.join(size, "host").withColumn("part", F.pmod(F.col("c1"), F.col("parts")))
+    found = contents.filter("parts = 1").groupBy("host").applyInPandas(_whole, "host string, c1 long, c2 long, text string")
+    if size.filter("parts > 1").limit(1).count():
+        found = found.unionByName(_in_parts(contents.filter("parts > 1")))
+    found = parsed.filter("not sure and size(rest) > 0").select("page_id", "url", "host", "c1", "c2").join(found, ["host", "c1", "c2"]).select("page_id", "url", "text")
     empty = parsed.filter("not sure and size(rest) = 0").select("page_id", "url", F.lit("").alias("text"))
     return sure.unionByName(found).unionByName(empty).select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
 

@@ -60,3 +60,19 @@ def test_repeated_runs():
 
     covered = html_text.repeated(blocks, [np.array([0]), np.array([1]), np.array([2]), np.array([0, 1, 2])], 3, 2)
     assert ["".join(str(int(x)) for x in c) for c in covered] == ["111111110", "011111111", "00000000", "11"]
+
+
+@pytest.mark.parametrize("shard", [2000, 20])
+def test_boilerplate_is_decided_for_whole_hosts_by_distinct_contents(spark, monkeypatch, shard):
+    monkeypatch.setattr(html_text, "SHARD", shard)
+    own = lambda h, i: " ".join(f"{h}{i}word{k}" for k in range(30))
+    line = "every page of this long run carries the same words at its end"
+    html = lambda h, i, more="": f"<h2>Summary</h2><p>Short note</p><p>{own(h, i)}</p><ul><li><a href='/'>Home</a></li></ul>{more}"
+    rows = [(i, f"http://big.example/{i}", html("b", i, f"<div>{line}</div>" if i < 3 else "")) for i in range(100)]
+    rows += [(200 + i, f"http://few.example/{i}", html("f", i, f"<div>{line}</div>" if i < 2 else "")) for i in range(100)]
+    rows += [(400 + i, f"http://copies.example/{i}", f"<div>{own('c', 0)}</div><div>Contact</div>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(100):
+        assert got[i] == f"Summary\nShort note\n{own('b', i)}"
+        assert got[200 + i] == f"Summary\nShort note\n{own('f', i)}" + (f"\n{line}" if i < 2 else "")
+    assert all(got[400 + i] == f"{own('c', 0)}\nContact" for i in range(5))
