@@ -14,10 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
-
-#: Bytes of stored Parquet that make a cell, about 14 MB of text.
-CELL_BYTES = 8 << 20
+#: Bytes of text that make a cell.
+CELL_BYTES = 14 << 20
 
 
 def give_back() -> None:
@@ -29,10 +27,8 @@ def give_back() -> None:
 
 
 def cell_count(docs: DataFrame, each: int = CELL_BYTES) -> int:
-    """From the optimizer's size estimate; where there is none, as many as shuffle partitions."""
-    size = text_bytes(docs)
-    if size > 1 << 60:
-        return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """As many cells as the texts' bytes, counted, make up."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     return max(1, -(-size // each))
 
 

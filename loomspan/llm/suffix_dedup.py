@@ -29,8 +29,8 @@ V, COVER = 16, (0, 1, 2, 5, 8)
 BLOCK, PART = 1 << 18, 1 << 21
 #: Texts with copies that are broadcast at most (24 bytes each).
 SMALL = 500_000
-#: Bytes of stored Parquet that make a cell, about 7 MB of text.
-CELL = 4 << 20
+#: Bytes of text that make a cell.
+CELL = 7 << 20
 #: Stands for a null id: larger than every id.
 NO_ID = np.iinfo(np.int64).max
 LOW = np.uint64(0xFFFF)
