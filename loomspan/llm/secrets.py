@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import packed, table, written
 
 #: Kinds in their order: pattern, group that holds the value, least length of that group.
 BASE = {
@@ -17,14 +17,19 @@ BASE = {
 MORE = {
     "github": (r"(gh[pousr]_[A-Za-z0-9]{36,})", 1, 40),
     "slack": (r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 15),
-    "jwt": (r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 30),
-    "pem": (r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", 1, 10),
+    "jwt": (r"([A-Za-z0-9_.-]{30,})", 1, 30),
+    "pem": (r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 10),
     "url": (r"[a-z][a-z0-9+.-]{0,19}://[^\s/:@]+:([^\s/@]{6,})@", 1, 6),
 }
+#: Of a kind's match, the part at its beginning that is the value and ends the span. All patterns take time in
+#: proportion to the text, and no repeated group: Java's matcher calls itself for each turn of one.
+INNER = {"jwt": r"^eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"}
 #: A value that more owners than this share is a copied example, one of fewer is live-looking.
 OWNERS = 2
+#: Parts in which the documents of one value meet its counts.
+SALTS = 8
 #: A kind's pattern for a quick look, before any span is made.
-LOOK = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
+LOOK = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}", "jwt": "eyJ[A-Za-z0-9_-]{8}", "pem": "PRIVATE KEY-----"}
 
 
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -43,9 +48,12 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
         end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
+        stop = start + F.length(x["value"]) if kind in INNER else end
+        span = F.struct(start.alias("start"), stop.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
+    if kind in INNER:
+        values = F.transform(values, lambda x: F.regexp_extract(x, INNER[kind], 0))
     if kind == "hex":  # nearly every word has a short run; longer runs alone, which are the same spans
         pattern = r"([0-9a-f]{32,})"
         pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
@@ -61,17 +69,17 @@ def joined(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``base`` and ``found``: sorted arrays of spans.
+    """``docs`` without its text, with ``base`` and ``found``: sorted arrays of spans. They replace columns
+    of these names; all other columns are carried along.
 
     ``found`` has the base kinds' spans and the further ones. A null text is an empty one.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_t", t)
     kinds = {**BASE, **MORE}
+    d = packed(docs, _t=F.coalesce(F.col(text), F.lit("")))
     d = d.withColumns({f"_{k}": spans_of(F.col("_t"), k, *v) for k, v in kinds.items()})
     d = d.withColumn("base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in BASE])))
     d = d.withColumn("found", F.array_sort(F.concat("base", *[F.col(f"_{k}") for k in MORE])))
-    return d.drop("_t", text, *[f"_{k}" for k in kinds])
+    return d.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in (text, "base", "found")], "base", "found")
 
 
 def judged(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
@@ -84,7 +92,10 @@ def judged(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
     rows = found.select("doc_id", "spans", repository.alias("repo"), owner.alias("owner"), "found").withColumn("s", F.explode("found"))
     rows = rows.withColumn("value", F.sha2(F.col("s.value"), 256)).select("doc_id", "spans", "repo", "owner", "s", "value")
     spread = rows.select("value", "repo", "owner").distinct().groupBy("value").agg(F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners"))
-    one = rows.select("doc_id", "spans", F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), "value").distinct().join(spread, "value")
+    one = rows.select("doc_id", "spans", F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), "value").distinct()
+    # a value that many documents have is spread over SALTS parts of the join
+    one = one.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
+    one = one.join(spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["value", "salt"])
     live = F.col("n_owners") <= OWNERS
     return one.groupBy("doc_id", "spans").agg(
         F.count_if(live).alias("n_live"),
