@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_if_small, packed, table, written
+from .common import joined_if_small, packed, row_key, table, written
 
 #: Masks over SPAN tokens: the places that count. The others may hold anything.
 SPAN = 8
@@ -22,8 +22,10 @@ SEGMENT_LEAST, MATCHES_LEAST, SHARE = 6, 12, 80
 FALL = 6
 #: Segments that begin within this many item lengths are one neighbourhood.
 REACH = 2
-#: Items of fewer tokens than this are ordinary phrases and are not searched.
+#: Items of fewer tokens than this are ordinary phrases inside a text: they count as whole lines only.
 ITEM_LEAST = 5
+#: Tokens of items that are broadcast at most.
+TOKENS = 2_000_000
 #: Seeds that are broadcast at most (about 24 bytes each), and documents with hits.
 SMALL = 1_000_000
 
@@ -99,13 +101,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the neighbourhood with most matches (the first of these).
 
     Null texts have no tokens. Rows with equal id and text give equal rows, once. Items of equal
-    id are taken as one row each. Items shorter than SPAN must occur whole and unchanged;
+    id are taken as one row each. Items shorter than SPAN must occur whole and unchanged, and
+    those shorter than ITEM_LEAST as a line of their own;
     of items shorter than SHORT, with seeds of their own, needed() says how many tokens must stay.
     """
-    key = [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("r2")]
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("toks")).filter(F.size("toks") >= ITEM_LEAST)
-    items = written(items.distinct().withColumn("item", F.xxhash64("item_id", "toks")), "dc-items")
-    rows = docs.select(*key, "doc_id", "text")
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("toks")).filter(F.size("toks") > 0)
+    every = written(items.distinct().withColumn("item", F.xxhash64("item_id", "toks")), "dc-items")
+    items, tiny = every.filter(F.size("toks") >= ITEM_LEAST), every.filter(F.size("toks") < ITEM_LEAST)
+    rows = docs.select(*row_key("doc_id", "text"), "doc_id", "text")
     spaced = [(SPAN, MASKS)]
     short = [r[0] for r in items.filter(F.size("toks") < SHORT).select(F.size("toks")).distinct().collect()]  # 9 lengths at most
     spaced += [(n, short_masks(n)) for n in sorted(short)]
@@ -121,7 +124,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = written(hits.select("r1", "r2").distinct(), "dc-met")
     near = joined_if_small(rows, met, ["r1", "r2"], "left_semi", SMALL).dropDuplicates(["r1", "r2"]).select("r1", "r2", "doc_id", tokens(F.col("text")).alias("_doc"))
     laid = hits.join(near, ["r1", "r2"])
-    laid = joined_if_small(laid, items, ["item"], "inner", SMALL // 10).select("r1", "r2", "doc_id", "item", "item_id", "_doc", "toks", F.explode("diagonals").alias("d"))
+    held = items.agg(F.sum(F.size("toks"))).first()[0] or 0
+    laid = laid.join(F.broadcast(items) if held <= TOKENS else items, "item").select("r1", "r2", "doc_id", "item", "item_id", "_doc", "toks", F.explode("diagonals").alias("d"))
     begin = F.greatest(F.col("d"), F.lit(0))
     size = F.least(F.size("_doc") - begin, F.size("toks") - (begin - F.col("d")))
     same = F.zip_with(F.slice("_doc", begin + 1, size), F.slice("toks", begin - F.col("d") + 1, size), lambda x, y: x == y)
@@ -136,7 +140,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = near.select("r1", "r2", "doc_id", "item", "item_id", "size", "first", F.expr(f"max(last) {over}").alias("last"), *[F.size(F.array_distinct(F.flatten(F.expr(f"collect_list({c}) {over}")))).alias(f"n_{c}") for c in ("in_doc", "in_item")])
     best = near.groupBy("r1", "r2", "doc_id", "item", "item_id", "size").agg(F.max(F.struct(F.least("n_in_doc", "n_in_item").alias("n"), (-F.col("first")).alias("first"), F.col("last"))).alias("best"))
     best = best.filter(F.col("best.n") >= needed(F.col("size")))
-    return best.select("doc_id", "item_id", F.col("best.n").cast("long").alias("matches"), (-F.col("best.first")).cast("long").alias("first_token"), F.col("best.last").cast("long").alias("last_token"), "r1", "r2")
+    found = best.select("doc_id", "item_id", F.col("best.n").cast("long").alias("matches"), (-F.col("best.first")).cast("long").alias("first_token"), F.col("best.last").cast("long").alias("last_token"), "r1", "r2")
+    return found.unionByName(whole_lines(rows, tiny)) if tiny.limit(1).count() else found
+
+
+def whole_lines(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of leaks() for items that count as whole lines: of each the first line that is it."""
+    lines = rows.select("r1", "r2", "doc_id", F.transform(F.split("text", "\n"), tokens).alias("_lines")).filter(F.col("_lines").isNotNull())
+    short = lines.select("r1", "r2", "doc_id", "_lines", F.posexplode("_lines").alias("_place", "toks")).filter(F.size("toks").between(1, ITEM_LEAST - 1))
+    before = F.aggregate(F.slice("_lines", 1, F.col("_place")), F.lit(0), lambda n, x: n + F.size(x)).cast("long")
+    met = joined_if_small(short, items, ["toks"], "inner", SMALL).select("r1", "r2", "doc_id", "item_id", F.size("toks").cast("long").alias("matches"), before.alias("first_token"))
+    met = met.groupBy("r1", "r2", "doc_id", "item_id", "matches").agg(F.min("first_token").alias("first_token"))
+    return met.select("doc_id", "item_id", "matches", "first_token", (F.col("first_token") + F.col("matches") - 1).alias("last_token"), "r1", "r2")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -148,5 +163,6 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark passage go."""
     found = written(leaks(docs, table(spark, sf_dir, "benchmark")).select("r1", "r2").distinct(), "dc-found")
-    rows = packed(docs, r1=F.xxhash64("doc_id", "text"), r2=F.xxhash64(F.lit(7), "text", "doc_id"))
+    r1, r2 = row_key("doc_id", "text")
+    rows = packed(docs, r1=r1, r2=r2)
     return joined_if_small(rows, found, ["r1", "r2"], "left_anti", SMALL).select("_row.*")
