@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .quality import BOTH_MOST, CHAR_LEAST_CHARS, CHAR_MOST, REFERENCES, SYMBOLS, WORD_LEAST_WORDS, WORD_MOST
-from .secrets import BASE, MORE, OWNERS
+from .secrets import BASE, INNER, MORE, OWNERS
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,9 +51,10 @@ sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_strin
 grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 70 * (a.n + b.n - count(*))),
 reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
-classes AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS class_id, CASE WHEN len(s) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY list_sort(s)) END AS class_size FROM sets)
-SELECT s.doc_id, n::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id, s.doc_id <= coalesce(min(r.b), s.doc_id) AS kept, class_id, class_size
-FROM classes s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, n, class_id, class_size"""
+classes AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS class_id, CASE WHEN len(s) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY list_sort(s)) END AS class_size FROM sets),
+links AS (SELECT p.a, count(DISTINCT y.class_id) AS n FROM pairs p JOIN classes x ON x.doc_id = p.a JOIN classes y ON y.doc_id = p.b WHERE x.class_id <> y.class_id GROUP BY p.a)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id, s.doc_id <= coalesce(min(r.b), s.doc_id) AS kept, class_id, class_size, coalesce(any_value(l.n), 0) AS n_links
+FROM classes s LEFT JOIN reach r ON r.a = s.doc_id LEFT JOIN links l ON l.a = s.doc_id GROUP BY s.doc_id, s.n, class_id, class_size"""
 
 SUFFIX = """
 WITH h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
@@ -73,7 +74,9 @@ def secrets() -> str:
     found = []
     for rank, (kind, (pattern, group, least)) in enumerate(every.items()):
         p = pattern.replace("'", "''")
-        found.append(f"""SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, list_sum([length(x) FOR x IN pieces[1:i]])::BIGINT + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0)::BIGINT AS a, length(hits[i]) AS size, vals[i] AS value, {least} AS least
+        value = f"regexp_extract(vals[i], '{INNER[kind]}')" if kind in INNER else "vals[i]"
+        size = f"length({value})" if kind in INNER else "length(hits[i])"
+        found.append(f"""SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, list_sum([length(x) FOR x IN pieces[1:i]])::BIGINT + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0)::BIGINT AS a, {size} AS size, {value} AS value, {least} AS least
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, source, string_split_regex(text, '{p}') AS pieces, regexp_extract_all(text, '{p}', 0) AS hits, regexp_extract_all(text, '{p}', {group}) AS vals FROM documents WHERE regexp_matches(text, '{p}')))""")
     count = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
     return f"""

@@ -69,10 +69,27 @@ def brute_components(rows):
 def test_near_duplicates(docs, none):
     got = near_dup.near_duplicates(docs).collect()
     assert cases.spread((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == cases.spread(brute_components(cases.documents()))
-    assert max(r.class_size for r in got) >= 16 and max(r.n_confirmed for r in got) >= 1
+    assert cases.spread((r.doc_id, r.n_shingles, r.n_links) for r in got) == cases.spread(brute_links(cases.documents()))
+    assert max(r.class_size for r in got) >= 16 and max(r.n_links for r in got) >= 1
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_blocks(docs, monkeypatch):
+    """Components that are cut into several blocks give the same links."""
+    monkeypatch.setattr(near_dup, "BLOCK", 500)
+    got = near_dup.near_duplicates(docs).collect()
+    rows = cases.documents()
+    assert cases.spread((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == cases.spread(brute_components(rows))
+    assert cases.spread((r.doc_id, r.n_shingles, r.n_links) for r in got) == cases.spread(brute_links(rows))
+
+
+def brute_links(rows):
+    sets = [shingles(r[1]) for r in rows]
+    each = set(sets) - {frozenset()}
+    linked = {s: sum(1 for t in each if t != s and 100 * len(s & t) >= 70 * len(s | t)) for s in each}
+    return [(r[0], len(s), linked.get(s, 0)) for r, s in zip(rows, sets)]
+
+
 def test_near_duplicate_chains_and_thresholds(spark):
     """A chain whose ends aren't similar, and pairs just at and below the threshold."""
     rng = random.Random(2)
