@@ -235,7 +235,66 @@ def test_lm_learns_and_is_normalised(spark):
     assert len(held) > 10
     base, score = (sum(getattr(r, k) for r in held) / sum(r.n_tokens for r in held) for k in ("base_score", "score"))
     assert score > base + 0.15
-    counts = np.zeros((lm_score.M**2, lm_score.M), np.int64)
-    counts[5, 7] = 10
-    table = lm_score.LogBilinear(counts).log10()
-    assert np.allclose((10.0 ** table[::997]).sum(axis=1), 1, atol=1e-4)
+
+
+def naive_log10(m, ids):
+    """Log10 probabilities of one text's tokens, one output after the other."""
+    out, past = [], [m.end] * lm_score.WINDOW
+    for i in [*ids, m.end]:
+        r = sum(m.P[k].astype(float) * m.R[past[-1 - k]] for k in range(lm_score.WINDOW))
+        first = [math.exp(r @ m.QC[c] + m.bC[c]) for c in range(len(m.bC))]
+        c = i // m.width if i < m.v else m.n_classes + i - m.v
+        p = first[c] / sum(first)
+        if i < m.v:
+            inner = {w: math.exp(r @ m.Q[w] + m.b[w]) for w in range(m.v) if w // m.width == c}
+            p *= inner[i] / sum(inner.values())
+        out.append(math.log10(p))
+        past.append(i)
+    return out
+
+
+def test_lm_scores_agree_with_one_output_after_the_other(docs, monkeypatch):
+    """The whole query against a plain computation from the trained model's numbers."""
+    kept = {}
+    made = lm_score._scored
+    monkeypatch.setattr(lm_score, "_scored", lambda m, stats: kept.update(m=m, stats=stats) or made(m, stats))
+    got = lm_score.score_documents(docs).collect()
+    m, stats = kept["m"], kept["stats"]
+    rows = cases.documents()
+    c = collections.Counter(w for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 for w in cases.words((r[1] or "").translate(cases.LOWER)))
+    assert 50 < m.v < len(c) and m.n_classes > 1
+    want = []
+    for i, text, *_ in rows:
+        words = cases.words((text or "").translate(cases.LOWER))
+        if len(words) > 300:
+            continue
+        h = lm_score.text_words(*textscan.buffers(pa.array([(text or "").translate(cases.LOWER)])))[0]
+        ids = m.ids(h).tolist()
+        score = sum(naive_log10(m, ids))
+        for w, x, tag in zip(words, ids, (h & lm_score.TAG).astype(int)):
+            if x >= m.v:
+                score += math.log10((c[w] + 0.1) / (stats["tail_n"][tag] + 0.1 * (stats["tail_v"][tag] + 1)))
+        want.append((i, len(words), round(score, 2)))
+    assert cases.spread((r.doc_id, r.n_tokens - 1, round(r.score, 2)) for r in got if r.n_tokens <= 301) == cases.spread(want)
+
+
+@pytest.mark.parametrize("v", [0, 1, 7, 50])
+def test_lm_is_normalised(v):
+    rng = np.random.default_rng(v)
+    m = lm_score.LogBilinear(np.arange(v, dtype=np.uint64) * np.uint64(1000), np.arange(v)[::-1] + 3, np.zeros(lm_score.TAILS), 2)
+    for x, _ in m._tables():
+        x += rng.normal(0, 1, x.shape).astype(np.float32)
+    before = rng.integers(0, m.end + 1, (4, lm_score.WINDOW))
+    every = np.arange(m.end + 1)
+    for b in before:
+        assert (10 ** m.log10(every, np.repeat(b[None], len(every), axis=0))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_rows_carry_all_that_training_changed():
+    m = lm_score.LogBilinear(np.arange(20, dtype=np.uint64) * np.uint64(1000), np.arange(20) + 3, np.ones(lm_score.TAILS), 2)
+    t, rng = m.trainer(3), np.random.default_rng(0)
+    t.chunk(rng.integers(0, m.end + 1, 500), rng.integers(0, m.end + 1, (500, lm_score.WINDOW)))
+    row, weight, x = m.rows(t.touched)
+    other = lm_score.LogBilinear(np.arange(20, dtype=np.uint64) * np.uint64(1000), np.arange(20) + 3, np.ones(lm_score.TAILS), 2)
+    other.take(row, x)
+    assert (weight > 0).all() and all((p[0] == q[0]).all() and (p[1] is None or (p[1] == q[1]).all()) for p, q in zip(m._tables(), other._tables()))
