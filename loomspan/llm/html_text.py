@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +22,26 @@ PAGES_LEAST, PAGES_SHARE = 3, 0.02
 #: Page contents of a host in one suffix array. Those of larger hosts are worked through in parts of
 #: about this size; what is boilerplate is decided for the host.
 SHARD = 2000
+#: How far up an element is looked for that a start tag closes.
+DEPTH = 512
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "title", "textarea", "select", "math"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "title", "textarea", "select"}
 DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that hold text of the page: a short block in one of them is loose only if it is all links.
 TEXTUAL = {"p", "li", "dt", "dd", "td", "th", "caption", "figcaption", "blockquote", "pre", "summary", "address"}
 WORDS_DROPPED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adslot", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets"}
+#: Parts of names that may stand beside those above: "post-comments" is dropped, "related-work" isn't.
+WORDS_BESIDE = {"", "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "entry", "footer", "form", "global", "grid", "header", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "mobile", "module", "outer", "page", "pages", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "text", "title", "top", "ui", "unit", "wrap", "wrapper"}
 ROLES_DROPPED = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
 #: Elements that a start tag of the key closes, up to the nearest element of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"</?([^\s/>]*)")
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -48,8 +55,10 @@ def _kind(name: str, attrs: str) -> str:
             if key == "role":
                 kind = "drop" if value in ROLES_DROPPED else "main" if value == "main" else kind
             elif key in ("class", "id") and name not in ("body", "html", "article", "main"):
-                parts = set(_PARTS.split(value))
-                kind = "drop" if parts & WORDS_DROPPED else "header" if "header" in parts else kind
+                for token in value.split():
+                    parts = {x for x in _PARTS.split(token) if not x.isdigit()}
+                    if parts <= WORDS_DROPPED | WORDS_BESIDE:
+                        kind = "drop" if parts & WORDS_DROPPED else "header" if "header" in parts and kind != "drop" else kind
             elif key in ("class", "id") and name == "article":
                 kind = "drop" if set(_PARTS.split(value)) & {"comment", "comments", "reply", "ad", "advert", "related"} else kind
             elif key == "itemprop" and value == "articlebody":
@@ -59,111 +68,155 @@ def _kind(name: str, attrs: str) -> str:
     return kind
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(from, to, name, is an end tag, attributes) of the tags in order; name '' for comments and the like.
+
+    A '>' within quotes doesn't end a tag, until a tag turns out to have a quote that isn't closed
+    or no end outside quotes: from there on every '>' ends one. So a page is read once or twice.
+    """
+    at, n, quotes = 0, len(page), True
+    while True:
+        m = _OPEN.search(page, at)
+        if not m:
+            return
+        a = m.start()
+        if page.startswith("<!--", a):
+            z = page.find("-->", a + 4)
+            z = n if z < 0 else z + 3
+            at = yield a, z, "", False, ""
+        else:
+            z = page.find(">", a)
+            if page[a + 1] in "!?":
+                z = n if z < 0 else z + 1
+                at = yield a, z, "", False, ""
+            elif z < 0:  # no tag ends any more: the rest is text
+                return
+            else:
+                name = _NAME.match(page, a)
+                end = _QUOTED.match(page, name.end()) if quotes else None
+                quotes = quotes and end is not None
+                z = end.end() if end else page.find(">", name.end()) + 1
+                at = yield a, z, name[1].lower(), page[a + 1] == "/", page[name.end() : z - 1]
+        at = z if at is None else at
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
-    """(rank, text) of loose_blocks."""
-    return [b[:2] for b in loose_blocks(page)]
+    """(rank, text) of the visible blocks that aren't marked as something else."""
+    return [b[:2] for b in loose_blocks(page) if not b[3]]
 
 
-def loose_blocks(page: str) -> list[tuple[int, str, bool]]:
-    """(rank, text, loose) of the visible blocks in page order: rank 2 in an article, 1 in the main
-    element, 0 elsewhere. What menus, footers, adverts and their like hold is left out; of a
-    header inside an article the headings stay. Loose are blocks that are neither headings nor
-    in a textual element, and blocks other than headings that are all links."""
-    out: list[tuple[int, str, bool]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # name, dropped, rank, in a header
+def loose_blocks(page: str) -> list[tuple[int, str, bool, bool]]:
+    """(rank, text, loose, marked) of the blocks in page order: rank 2 in an article, 1 in the main
+    element, 0 elsewhere. Marked is what menus, footers, adverts and their like hold; of a
+    header inside an article the headings are not. Loose are blocks that are neither headings nor
+    in a textual element, and blocks other than headings that are all links.
+
+    Takes time in proportion to the page: an open element is looked for no further up than DEPTH.
+    """
+    out: list[tuple[int, str, bool, bool]] = []
+    stack: list[tuple[str, bool, int, bool, str]] = []  # name, dropped, rank, in a header, innermost block
+    count: Counter = Counter()  # of the names in the stack
     run: list[str] = []
-    dropped, rank, header, heading, plain = False, 0, False, False, False
+    dropped, rank, header, inner = False, 0, False, ""
+    heading, plain, off = False, False, False
 
     def close() -> None:
         nonlocal plain
-        text = " ".join(html.unescape("".join(run)).split())
+        text = " ".join(html.unescape("".join(run)).split()) if run else ""
         if text:
-            inner = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "")
-            out.append((rank, text, inner not in HEADINGS and not (plain and inner in TEXTUAL)))
+            out.append((rank, text, inner not in HEADINGS and not (plain and inner in TEXTUAL), off))
         run.clear()
         plain = False
 
     def back(size: int) -> None:
-        nonlocal dropped, rank, header
+        nonlocal dropped, rank, header, inner
+        for x in stack[size:]:
+            count[x[0]] -= 1
         del stack[size:]
-        dropped, rank, header = stack[-1][1:] if stack else (False, 0, False)
+        dropped, rank, header, inner = stack[-1][1:] if stack else (False, 0, False, "")
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else n]
-        if text and not dropped and (not header or heading):
-            run.append(text)
-            plain = plain or (not text.isspace() and not any(x[0] == "a" for x in stack))
-        if not m:
-            break
-        at = m.end()
-        ends_one, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])  # the latter: a quote isn't closed
-        if not name:
-            continue
-        name = name.lower()
-        if name == "br":
-            run.append(" ")
-            continue
-        if name in BLOCKS:
-            close()
-        if name in HEADINGS:
-            heading = not ends_one
-        if ends_one:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    back(i)
-                    break
-            continue
-        if name in VOID:
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if name in BLOCKS:
-            for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p":
-                    back(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        if name in CLOSES:
-            ends, stops = CLOSES[name]
-            for i in range(len(stack) - 1, -1, -1):
+    def end_open(ends: set[str], stops: set[str]) -> None:
+        if any(count[x] for x in ends):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
                 if stack[i][0] in ends:
                     back(i)
-                    break
+                    return
                 if stack[i][0] in stops:
-                    break
-        if attrs.rstrip().endswith("/") and name not in BLOCKS:
-            continue
-        kind = _kind(name, attrs)
-        dropped = dropped or kind == "drop" or (kind == "header" and rank == 0)
-        header = header or kind == "header"
-        rank = 2 if kind == "article" else max(rank, 1) if kind == "main" else rank
-        stack.append((name, dropped, rank, header))
+                    return
+
+    def put(text: str) -> None:
+        nonlocal plain, off
+        if text:
+            now = dropped or (header and not heading)
+            if now != off:
+                close()
+                off = now
+            run.append(text)
+            plain = plain or (not count["a"] and not text.isspace())
+
+    at, tags = 0, _tags(page)
+    tag = next(tags, None)
+    while tag:
+        a, z, name, ends_one, attrs = tag
+        put(page[at:a])
+        at = z
+        if name == "br":
+            put(" ")
+        elif name:
+            if name in BLOCKS:
+                close()
+            if name in HEADINGS:
+                heading = not ends_one
+            if ends_one:
+                if count[name]:
+                    back(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            elif name in RAW:
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
+            elif name not in VOID:
+                if name in BLOCKS:
+                    end_open({"p"}, BLOCKS)  # a block ends an open paragraph
+                if name in CLOSES:
+                    end_open(*CLOSES[name])
+                if not attrs.rstrip().endswith("/") or name in BLOCKS:
+                    kind = _kind(name, attrs)
+                    dropped = dropped or kind == "drop" or (kind == "header" and rank == 0)
+                    header = header or kind == "header"
+                    rank = 2 if kind == "article" else max(rank, 1) if kind == "main" else rank
+                    inner = name if name in BLOCKS else inner
+                    stack.append((name, dropped, rank, header, inner))
+                    count[name] += 1
+        try:
+            tag = tags.send(at)
+        except StopIteration:
+            tag = None
+    put(page[at:])
     close()
     return out
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, sure, rest, loose = [], [], [], []
+        texts, sure, rest, loose, marked = [], [], [], [], []
         for page in b.column("html"):
             found = loose_blocks(page.as_py() or "")
-            best = max((r for r, _, _ in found), default=2)
-            texts.append("\n".join(t for r, t, _ in found if r == best) if best else None)
+            ours = [(r, t, x) for r, t, x, off in found if not off]
+            best = max((r for r, _, _ in ours), default=2)
+            texts.append("\n".join(t for r, t, _ in ours if r) if best else None)
             sure.append(best > 0)
-            rest.append([t for r, t, _ in found if r == 0])
-            loose.append([x for r, _, x in found if r == 0])
+            rest.append([t for r, t, _ in ours if r == 0])
+            loose.append([x for r, _, x in ours if r == 0])
+            marked.append([t for r, t, _, off in found if off])
         cols = [b.column(c) for c in ("page_id", "url", "host")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(sure, pa.bool_()), pa.array(rest, pa.list_(pa.string())), pa.array(loose, pa.list_(pa.bool_()))], ["page_id", "url", "host", "text", "sure", "rest", "loose"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(sure, pa.bool_()), pa.array(rest, pa.list_(pa.string())), pa.array(loose, pa.list_(pa.bool_())), pa.array(marked, pa.list_(pa.string()))], ["page_id", "url", "host", "text", "sure", "rest", "loose", "marked"])
 
 
 def depth_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of all suffixes of ``ids`` in their order by the first ``depth`` tokens (a power of
-    two): the suffix array's order by prefix doubling, stopped at the depth that is asked for."""
+    two): the suffix array's order by prefix doubling, stopped at the depth that is asked for.
+
+    Deeper order isn't needed: a token is in a substring of at least ``depth`` tokens that is on
+    so many pages exactly if it is in one of ``depth`` tokens that is."""
     rank, k = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
     while k < depth:
         after = np.zeros(len(rank), np.int64)
@@ -219,8 +272,8 @@ def _least(pdf: pd.DataFrame) -> float:
 def _indexed(pdf: pd.DataFrame) -> tuple[dict[tuple[str, bool], int], list[np.ndarray]]:
     index: dict[tuple[str, bool], int] = {}
     pages: list[list[int]] = []
-    for k, (rest, loose) in enumerate(zip(pdf["rest"], pdf["loose"])):
-        for b in dict.fromkeys(zip(rest, map(bool, loose))):
+    for k, (rest, loose, marked) in enumerate(zip(pdf["rest"], pdf["loose"], pdf["marked"])):
+        for b in dict.fromkeys([*zip(rest, map(bool, loose)), *((t, True) for t in marked), *((t, False) for t in marked)]):
             i = index.setdefault(b, len(index))
             if i == len(pages):
                 pages.append([])
@@ -289,14 +342,14 @@ def _in_parts(contents: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> page_id, url, text, n_chars; one row per row.
 
-    Pages with an article, or else a main element, give its blocks whole: repetition doesn't
+    Pages with articles or a main element give their blocks whole: repetition doesn't
     count against them, since copies of an article are articles. On other pages all blocks
-    outside menus and the like are in question. There, the tokens of all such blocks of a
-    host's pages are ordered in one suffix array (to the depth of RUN tokens), and runs that
+    outside menus and the like are in question. There, the tokens of all blocks outside articles of
+    all of a host's pages, menus and the like included, are ordered in one suffix array (to the depth of RUN tokens), and runs that
     stand in enough distinct page contents are boilerplate; what they cover goes, and the rest of
     the page stays. Copies of a page count once. Short blocks go only if they are loose (see
     loose_blocks): headings and short paragraphs or items of text stay, however often they occur.
-    Blocks outside the articles of other pages are evidence too. Large hosts are worked through
+    So what one page has in a footer is found on a page that doesn't mark it. Large hosts are worked through
     in parts, whose counts are added up before anything is decided.
 
     A null or empty html gives an empty text. A null url is the host ''. Equal rows give equal
@@ -304,11 +357,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[Ww]{3}\.)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    parsed = written(rows.mapInArrow(_parsed, "page_id long, url string, host string, text string, sure boolean, rest array<string>, loose array<boolean>"), "html-parsed")
-    parsed = parsed.withColumns({"c1": F.xxhash64("text", "rest", "loose"), "c2": F.xxhash64(F.lit(7), "rest", "loose", "text")})
+    parsed = written(rows.mapInArrow(_parsed, "page_id long, url string, host string, text string, sure boolean, rest array<string>, loose array<boolean>, marked array<string>"), "html-parsed")
+    parsed = parsed.withColumns({"c1": F.xxhash64("text", "rest", "loose", "marked"), "c2": F.xxhash64(F.lit(7), "marked", "rest", "loose", "text")})
     sure = parsed.filter("sure").select("page_id", "url", "text")
     open_ = parsed.filter("not sure and size(rest) > 0").select("host").distinct()
-    contents = parsed.filter("size(rest) > 0").join(open_, "host", "left_semi").select("host", "c1", "c2", "sure", "rest", "loose").dropDuplicates(["host", "c1", "c2"])
+    contents = parsed.filter("size(rest) + size(marked) > 0").join(open_, "host", "left_semi").select("host", "c1", "c2", "sure", "rest", "loose", "marked").dropDuplicates(["host", "c1", "c2"])
     contents = written(contents, "html-contents")
     size = written(contents.groupBy("host").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / SHARD)), "html-hosts")
     contents = contents.join(size, "host").withColumn("part", F.pmod(F.col("c1"), F.col("parts")))

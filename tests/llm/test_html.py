@@ -1,5 +1,10 @@
 """Main-text extraction from pages."""
 
+import collections
+import random
+import time
+
+import numpy as np
 import pytest
 
 from loomspan.llm import html_text
@@ -24,14 +29,27 @@ MENU = '<nav><a href="/">Home</a></nav><header><h1>Site</h1></header><aside>More
         ("<article><p>a < b and <3</p><nav>n<p>m</article>", ["a < b and <3"]),
         ("<ARTICLE><P CLASS='Advert'>no</P><P>yes</P></ARTICLE>", ["yes"]),
         ("plain text", ["plain text"]),
+        ('<main><h1>T</h1><p>one</p><article class="card"><p>teaser</p></article><p>two</p></main>', ["T", "one", "teaser", "two"]),
+        ('<article><h2 id="related-work">Related work</h2><p class="widget-analysis">a</p><p>let <math><mi>x</mi></math> be</p><p class="related posts">no</p><div class="entry-share">no</div></article>', ["Related work", "a", "let x be"]),
+        ("<article><p>x</p></article><p>a <b ", ["x"]),
+        ("a <b b", ["a <b b"]),
+        ('<article><a ">"<p>y</p></article>', ["y"]),
         ("", []),
         ("<article></article>", []),
     ],
 )
 def test_blocks(page, want):
     found = html_text.blocks_of(page)
-    best = max((r for r, _ in found), default=0)
-    assert [t for r, t in found if r == best] == want
+    some = any(r for r, _ in found)
+    assert [t for r, t in found if r or not some] == want
+
+
+@pytest.mark.parametrize("unit", ["a <b ", "a <b x=\"", "<a \">\" ", "</div>x", "<b>x</div>", "<p>", "<div>", "<td>x</td>", "<span>", "<li>x", "<!-- ", "<script>", "</script ", "<script></script ", "<b>x", "&#", "<a href='", "<x/>", "<dt>", "<table><td>"])
+def test_pages_are_read_in_proportion_to_their_length(unit):
+    began = time.time()
+    html_text.loose_blocks(unit * 100_000)
+    html_text.loose_blocks("<span>" * 50_000 + unit * 50_000)
+    assert time.time() - began < 5
 
 
 def test_unmarked_pages_lose_what_their_host_repeats(spark):
@@ -54,6 +72,41 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+def test_a_footer_marked_on_some_pages_goes_from_all(spark):
+    """Structure alone keeps the unmarked copies; the host's repeats tell. Clashing columns do no harm."""
+    line = "printed every day by the good people of the long valley"
+    own = [" ".join(f"own{i}word{k}" for k in range(20)) for i in range(8)]
+    rows = [(i, f"http://h.example/{i}", f"<div><p>{own[i]}</p></div>" + (f"<footer>{line}</footer>" if i < 6 else f"<p>{line}</p>"), "x", 1) for i in range(8)]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int")).collect()
+    assert {r.page_id: r.text for r in got} == dict(enumerate(own)) and got[0].__fields__ == ["page_id", "url", "text", "n_chars"]
+
+
+def test_host_repeats_against_brute_force():
+    """All substrings of RUN tokens and more of random blocks, counted one by one."""
+    rng = random.Random(1)
+    for _ in range(20):
+        blocks = list({" ".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(12)})
+        pages = [np.array(sorted(rng.sample(range(6), rng.randint(1, 4)))) for _ in blocks]
+        on = collections.defaultdict(set)
+        for b, p in zip(blocks, pages):
+            t = b.split()
+            for a in range(len(t)):
+                for z in range(a + html_text.RUN, len(t) + 1):
+                    on[tuple(t[a:z])].update(p.tolist())
+        want = []
+        for b, p in zip(blocks, pages):
+            t = b.split()
+            c = np.zeros(len(t), bool)
+            if len(t) < html_text.RUN:
+                c[:] = len(p) >= 3
+            for a in range(len(t)):
+                for z in range(a + html_text.RUN, len(t) + 1):
+                    if len(on[tuple(t[a:z])]) >= 3:
+                        c[a:z] = True
+            want.append(c.tolist())
+        assert [c.tolist() for c in html_text.repeated(blocks, pages, 6, 3)] == want
+
+
 def test_repeated_runs():
     blocks = ["a b c d e f g h i", "x a b c d e f g h", "h g f e d c b a", "short one"]
     import numpy as np
