@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 #: The characters that Python's str.strip() and str.split() take as white space.
 SPACE = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-#: A private-use character that marks where a text is cut.
-CUT = "\ue000"
+#: Marks where a text is cut: a private-use character and another. The first alone may stand in a text: there
+#: it gets a third for company while the text is cut.
+MARK = "\ue000"
+CUT, KEPT = MARK + "\ue001", MARK + "\ue002"
 
 
 def strip(text: Column) -> Column:
@@ -48,7 +50,12 @@ def split_sentences(text: Column, delimiters: list[str], include: str | None, le
     """
     pattern = "(" + "|".join(quoted(d) for d in sorted(delimiters, key=len, reverse=True)) + ")"
     with_cuts = {"prev": "$1" + CUT, "next": CUT + "$1", None: CUT}[include]
-    parts = F.split(F.regexp_replace(text, pattern, with_cuts), CUT)
+
+    def cut(t: Column) -> Column:
+        return F.split(F.regexp_replace(t, pattern, with_cuts), CUT)
+
+    held = F.transform(cut(F.replace(text, F.lit(MARK), F.lit(KEPT))), lambda p: F.replace(p, F.lit(KEPT), F.lit(MARK)))
+    parts = F.when(F.contains(text, F.lit(MARK)), held).otherwise(cut(text))
     parts = F.filter(F.transform(parts, strip), lambda p: F.length(p) >= least)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(text)))
 
@@ -57,7 +64,7 @@ def split_sentences_py(text: str, delimiters: list[str], include: str | None, le
     """The same in Python, for folds that need it there."""
     pattern = "(" + "|".join(re.escape(d) for d in sorted(delimiters, key=len, reverse=True)) + ")"
     with_cuts = {"prev": "\\1" + CUT, "next": CUT + "\\1", None: CUT}[include]
-    parts = (p.strip() for p in re.sub(pattern, with_cuts, text).split(CUT))
+    parts = (p.replace(KEPT, MARK).strip() for p in re.sub(pattern, with_cuts, text.replace(MARK, KEPT)).split(CUT))
     return [p for p in parts if len(p) >= least] or [text.strip()]
 
 
@@ -68,6 +75,13 @@ def trim_middle(text: Column, most: int, head: float = 0.4) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(first)), F.lit(" […] "), F.right(text, F.lit(last)) if last > 0 else F.lit("")))
 
 
+def trim_middle_py(text: str, most: int, head: float = 0.4) -> str:
+    """The same in Python."""
+    first = int(most * head)
+    last = most - first - 5
+    return text if len(text) <= most else text[:first] + " […] " + (text[-last:] if last > 0 else "")
+
+
 def extension(path: Column) -> Column:
     """The last suffix of a path's name, lower-cased, with its dot; '' without one."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)

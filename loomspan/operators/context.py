@@ -42,28 +42,38 @@ def position() -> Column:
     return F.array(F.concat(F.array("page_idx"), "bbox"))
 
 
+#: Places of the title stack that have a running window each; deeper ones are looked up in a list.
+PLACES = 6
+
+
 def with_breadcrumb(blocks: DataFrame) -> DataFrame:
     """``blocks`` with title_path and title_level in force at each block, itself included.
 
     A title cuts the stack of titles to its level less one, by number and not by level, and goes
-    on top unless it is blank. The stack is made on title rows alone and carried forward.
+    on top unless it is blank. So the stack's depth d is min(d before, level - 1) plus 1 for a
+    title that goes on top, which unrolls to a running minimum of level - 1 less the titles put
+    on top so far; and at each place of the stack is the last title that was put there. Both are
+    running windows over one sort, in time proportional to the blocks.
     """
-    w = in_order()
+    w = in_order().rowsBetween(Window.unboundedPreceding, 0)
     title = F.col("kind") == "title"
     level = F.when(F.coalesce("title_level", F.lit(0)) == 0, 1).otherwise(F.col("title_level"))
-    so_far = F.collect_list(F.when(title, F.struct(level.alias("level"), strip(F.col("text")).alias("text")))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-
-    def put(stack: Column, x: Column) -> Column:
-        cut = F.slice(stack, 1, F.greatest(x["level"] - 1, F.lit(0)))
-        return F.when(x["text"] != "", F.concat(cut, F.array(x["text"]))).otherwise(cut)
-
-    d = blocks.withColumn("_titles", F.when(title, so_far)).withColumn("_path", F.when(title, F.array_join(F.aggregate("_titles", F.array().cast("array<string>"), put), " > ")))
-    d = d.withColumn("_level", F.when(title, level))
-    forward = w.rowsBetween(Window.unboundedPreceding, 0)
+    text = strip(F.col("text"))
+    on_top = (title & (F.coalesce(text, F.lit("")) != "")).cast("int")
+    d = blocks.withColumns({"_level": F.when(title, level), "_on_top": on_top, "_put": F.sum(on_top).over(w)})
+    cut = F.when(title, F.greatest(F.col("_level") - 1, F.lit(0)) - (F.col("_put") - F.col("_on_top")))
+    d = d.withColumn("_depth", F.coalesce(F.least(F.min(cut).over(w), F.lit(0)), F.lit(0)) + F.col("_put"))
+    d = d.withColumn("_top", F.when(F.col("_on_top") == 1, F.struct(F.col("_depth").alias("at"), text.alias("text"))))
+    places = [F.last(F.when(F.col("_top.at") == k, F.col("_top.text")), ignorenulls=True).over(w) for k in range(1, PLACES + 1)]
+    deep = F.collect_list(F.when(F.col("_top.at") > PLACES, F.col("_top"))).over(w)
+    d = d.withColumns({"_near": F.array(*places), "_deep": deep})
+    last = lambda k: F.element_at(F.filter("_deep", lambda x: x["at"] == k), -1)["text"]
+    stack = F.slice("_near", 1, F.least(F.col("_depth"), F.lit(PLACES)).cast("int"))
+    whole = F.when(F.col("_depth") > PLACES, F.concat(stack, F.transform(F.sequence(F.lit(PLACES + 1).cast("long"), F.col("_depth")), last))).otherwise(stack)
     return d.withColumns({
-        "title_path": F.coalesce(F.last("_path", ignorenulls=True).over(forward), F.lit("")),
-        "title_level": F.coalesce(F.last("_level", ignorenulls=True).over(forward), F.lit(0)).cast("int"),
-    }).drop("_titles", "_path", "_level")
+        "title_path": F.array_join(whole, " > "),
+        "title_level": F.coalesce(F.last("_level", ignorenulls=True).over(w), F.lit(0)).cast("int"),
+    }).drop("_level", "_on_top", "_put", "_depth", "_top", "_near", "_deep")
 
 
 def with_section(blocks: DataFrame) -> DataFrame:

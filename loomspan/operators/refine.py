@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import tokens
-from loomspan.functions.strings import filled, strip, trim_middle
+from loomspan.functions.strings import filled, strip, trim_middle, trim_middle_py
 
 IMAGE_MODES = ("path", "base64", "skip", "ignore")
 #: Characters of text that go to a model at most, and up to which a whole document goes along.
@@ -100,38 +101,62 @@ def _asked(model: object, on_error: str) -> Callable[[str], str]:
     return ask
 
 
-def ask_column(prompt: Column, model: object, on_error: str = "skip", workers: int = 4) -> Column:
-    """The model's answers to a column of prompts, ``workers`` at a time in each task; null stays null."""
-    ask = _asked(model, on_error)
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        with ThreadPoolExecutor(workers) as pool:
-            for prompts in batches:
-                yield pd.Series(list(pool.map(lambda p: ask(p) if isinstance(p, str) else None, prompts)), dtype=object)
-
-    return run(prompt)
-
-
 def add_context(chunks: DataFrame, model: object, summary: bool = True, context: bool = True, on_error: str = "skip", workers: int = 4) -> DataFrame:
     """Sets doc_summary and chunk_context by a model: any callable, or an object with generate().
 
     One summary for each document (and granularity); one context for each chunk that isn't blank,
-    given the whole text of a short document, else its summary, else its text cut in the middle.
-    The join back is on (source, granularity).
+    given the whole text of a short document, else its summary, else its text cut in the middle. If the
+    model has generate_contextual(), it gets the part of the prompt that a document's chunks share apart.
+
+    A document's chunks meet in one task, in order, by one shuffle: its text is put together there, once, and
+    isn't copied to its chunks. A task holds one document at a time, besides a batch.
     """
-    texts = document_texts(chunks)
-    long = F.length("full_text") > WHOLE_CHARS
-    ask_for = F.format_string(SUMMARY_PROMPT.replace("{}", "%s"), "doc_text")
-    texts = texts.withColumn("_summary", ask_column(F.when(F.lit(summary) | (long & F.lit(context)), ask_for), model, on_error, workers))
-    texts = texts.withColumn("_info", F.when(~long, F.col("full_text")).otherwise(F.coalesce(filled(F.col("_summary")), F.col("doc_text"))))
-    d = chunks.join(texts.select("source", "granularity", "_summary", "_info"), ["source", "granularity"], "left")
-    if summary:
-        d = d.withColumn("doc_summary", F.coalesce(filled(F.col("_summary")), F.col("doc_summary")))
-    if context:
-        prompt = F.when(strip(F.col("page_content")) != "", F.format_string(CONTEXT_PROMPT.replace("{}", "%s"), "_info", "page_content"))
-        d = d.withColumn("chunk_context", F.coalesce(filled(ask_column(prompt, model, on_error, workers)), F.col("chunk_context")))
-    return d.select(chunks.columns)
+    ask = _asked(model, on_error)
+    with_shared = getattr(model, "generate_contextual", None)
+    shared, own = CONTEXT_PROMPT.split("A passage of it:", 1)
+
+    def place(info: str, content: str) -> str:
+        if with_shared is None:
+            return ask(CONTEXT_PROMPT.format(info, content))
+        return _asked(lambda p: with_shared(shared.format(info), p), on_error)("A passage of it:" + own.format(content))
+
+    def answered(pool: ThreadPoolExecutor, t: pa.Table) -> pa.RecordBatch:
+        names = list(zip(t["source"].to_pylist(), t["granularity"].to_pylist()))
+        contents, some = t["page_content"].to_pylist(), []
+        docs: dict = {}
+        for k, c in zip(names, contents):
+            docs.setdefault(k, []).append(c)
+            some.append(bool((c or "").strip()))
+        whole = {k: "\n\n".join(c for c in v if (c or "").strip()) for k, v in docs.items()}
+        wanted = [k for k, v in whole.items() if summary or (context and len(v) > WHOLE_CHARS)]
+        found = dict(zip(wanted, pool.map(lambda k: ask(SUMMARY_PROMPT.format(trim_middle_py(whole[k], MOST_CHARS))), wanted)))
+        if summary:
+            new = [found[k] or old for k, old in zip(names, t["doc_summary"].to_pylist())]
+            t = t.set_column(t.column_names.index("doc_summary"), "doc_summary", pa.array(new, pa.string()))
+        if context:
+            info = {k: v if len(v) <= WHOLE_CHARS else found[k] or trim_middle_py(v, MOST_CHARS) for k, v in whole.items()}
+            said = pool.map(lambda x: place(info[x[0]], x[1]) if x[2] else "", zip(names, contents, some))
+            new = [a or old for a, old in zip(said, t["chunk_context"].to_pylist())]
+            t = t.set_column(t.column_names.index("chunk_context"), "chunk_context", pa.array(new, pa.string()))
+        return t
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(workers) as pool:
+            held: list[pa.RecordBatch] = []  # what has come of the last document so far
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                key = list(zip(b.column("source").to_pylist(), b.column("granularity").to_pylist()))
+                begin = next(i for i in range(len(key) - 1, -1, -1) if i == 0 or key[i - 1] != key[-1])
+                same = bool(held) and begin == 0 and (held[-1].column("source")[-1].as_py(), held[-1].column("granularity")[-1].as_py()) == key[0]
+                if not same and (held or begin):
+                    yield from answered(pool, pa.Table.from_batches([*held, b.slice(0, begin)])).to_batches()
+                    held = []
+                held.append(b.slice(begin))
+            if held:
+                yield from answered(pool, pa.Table.from_batches(held)).to_batches()
+
+    return chunks.repartition("source", "granularity").sortWithinPartitions("source", "granularity", "chunk_index").mapInArrow(run, chunks.schema)
 
 
 def needs_vision(kinds: tuple[str, ...] = ("table", "image"), only_empty: bool = True) -> Column:

@@ -25,17 +25,26 @@ def moving_average(s: DataFrame, window: int, run: str = "run_id", order: str =
 
 
 def polynomial_smooth(s: DataFrame, window: int, degree: int, run: str = "run_id", order: str = "vec_id") -> DataFrame:
-    """sim -> smooth: least-squares polynomials over ``window`` values (odd); runs must be as long.
+    """sim -> smooth: least-squares polynomials over ``window`` values.
 
-    At the ends the polynomials of the first and last window are evaluated."""
-    rows, h = savitzky_golay(window, degree), window // 2
+    In a run that is shorter the window shrinks to the largest odd number of its values, and the
+    degree to what that determines; a window of 1 leaves values as they are. At the ends the polynomials
+    of the first and last window are evaluated."""
+    window -= window % 2 == 0
     w = Window.partitionBy(run).orderBy(order)
     d = s.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(run)))
-    begin = F.least(F.greatest(F.col("_i") - h, F.lit(0)), F.col("_n") - window)
+    d = d.withColumn("_w", F.least(F.lit(window), F.col("_n") - (F.col("_n") % 2 == 0).cast("int")).cast("int"))
+    begin = F.least(F.greatest(F.col("_i") - F.floor(F.col("_w") / 2), F.lit(0)), F.col("_n") - F.col("_w"))
     d = d.withColumn("_near", F.collect_list("sim").over(w.rowsBetween(-(window - 1), window - 1))).withColumn("_first", F.greatest(F.col("_i") - (window - 1), F.lit(0)))
-    weights = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows]), F.col("_i") - begin)
-    values = F.slice("_near", begin - F.col("_first") + 1, F.lit(window))
-    return d.withColumn("smooth", F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)).drop("_i", "_n", "_near", "_first")
+    weights = None
+    for size in range(3, window + 1, 2):
+        rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in savitzky_golay(size, min(degree, size - 1))])
+        weights = F.when(F.col("_w") == size, rows) if weights is None else weights.when(F.col("_w") == size, rows)
+    if weights is None:
+        return s.withColumn("smooth", F.col("sim"))
+    values = F.slice("_near", (begin - F.col("_first") + 1).cast("int"), F.col("_w"))
+    fitted = F.aggregate(F.zip_with(values, F.get(weights, (F.col("_i") - begin).cast("int")), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return d.withColumn("smooth", F.when(F.col("_w") > 1, fitted).otherwise(F.col("sim"))).drop("_i", "_n", "_w", "_near", "_first")
 
 
 def breakpoints(s: DataFrame, percent: float | None = 25.0, threshold: float | None = None, value: str = "sim", run: str = "run_id") -> DataFrame:

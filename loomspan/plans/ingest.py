@@ -30,21 +30,14 @@ def parsed(spark: SparkSession, docs: DataFrame, parse: Callable[[DataFrame], Da
     """Fetched documents -> blocks, each by its route. ``parse`` turns (source, path) of documents
     that need a parser into (source, content) with a content list. Others are an error."""
     d = docs.withColumn("_route", files.route(F.col("path"), F.col("mime_type")))
-    rows = d.select("source", "path", "_route").collect() if parse is None else d.filter("_route in ('missing', 'unsupported')").select("source", "path", "_route").limit(1).collect()
-    for r in rows:
-        if r["_route"] in ("missing", "unsupported") or (r["_route"] == "parse" and parse is None):
-            raise ValueError(f"{r['source']}: {r['_route']}")
-    paths = {k: [r["path"] for r in d.filter(F.col("_route") == k).select("path").collect()] for k in ("json", "text")}
-    out = []
-    if paths["text"]:
-        out.append(B.blocks_from_text(files.read_texts(spark, paths["text"])))
-    if paths["json"]:
-        out.append(B.blocks_from_content_list(files.read_texts(spark, paths["json"]).withColumnRenamed("value", "content")))
+    wrong = ["missing", "unsupported", *(["parse"] if parse is None else [])]
+    for r in d.filter(F.col("_route").isin(wrong)).select("source", "_route").limit(1).collect():
+        raise ValueError(f"{r['source']}: {r['_route']}")
+    of = lambda k: d.filter(F.col("_route") == k)
+    blocks = B.blocks_from_text(files.read_rows(of("text")))
+    blocks = blocks.unionByName(B.blocks_from_content_list(files.read_rows(of("json")), content="value"))
     if parse is not None:
-        out.append(B.blocks_from_content_list(parse(d.filter("_route = 'parse'").select("source", "path"))))
-    blocks = out[0]
-    for x in out[1:]:
-        blocks = blocks.unionByName(x)
+        blocks = blocks.unionByName(B.blocks_from_content_list(parse(of("parse").select("source", "path"))))
     return blocks
 
 

@@ -92,13 +92,18 @@ def layout_items(spark, sf_dir):
     return B.blocks_from_layout_items(d).select("source", "kind", "block_index", "reading_order", "title_level", "page_idx", flat("bbox").alias("box"))
 
 
-@query("""
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'image/png' WHEN 3 THEN 'application/json' ELSE 'application/octet-stream' END AS mime,
-  CASE page_id % 5 WHEN 0 THEN 'parse' WHEN 1 THEN 'text' WHEN 2 THEN 'parse' WHEN 3 THEN 'json' ELSE 'unsupported' END AS route
-FROM pages""")
+#: Suffixes, their MIME types, and how such files are read.
+KINDS_OF_FILES = [
+    (".PDF", "application/pdf", "parse"), (".txt", "text/plain", "text"), (".png", "image/png", "parse"), ("_content_list.json", "application/json", "json"), (".", "application/octet-stream", "unsupported"),
+    (".gif", "image/gif", "unsupported"), (".doc", "application/msword", "unsupported"), (".jpg", "image/jpeg", "parse"), (".jpeg", "image/jpeg", "parse"), (".tiff", "image/tiff", "parse"), (".bmp", "image/bmp", "parse"), (".webp", "image/webp", "parse"),
+    *((k, v, "parse") for k, v in files.OFFICE.items()), (".html", "text/html", "unsupported"), (".csv", "text/csv", "unsupported"), ("", "application/octet-stream", "unsupported"),
+]
+
+
+@query("SELECT page_id, [" + ", ".join(f"'{m}'" for _, m, _ in KINDS_OF_FILES) + f"][page_id % {len(KINDS_OF_FILES)} + 1] AS mime, [" + ", ".join(f"'{r}'" for _, _, r in KINDS_OF_FILES) + f"][page_id % {len(KINDS_OF_FILES)} + 1] AS route FROM pages")
 def mime_and_route(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
-    suffix = F.get(F.array(*map(F.lit, (".PDF", ".txt", ".png", "_content_list.json", "."))), (F.col("page_id") % 5).cast("int"))
+    suffix = F.get(F.array(*[F.lit(k) for k, _, _ in KINDS_OF_FILES]), (F.col("page_id") % len(KINDS_OF_FILES)).cast("int"))
     path = F.concat(F.lit("/data/v1.2/f"), "page_id", suffix)
     mime = files.mime_type(path)
     return p.select("page_id", mime.alias("mime"), files.route(path, mime).alias("route"))
@@ -114,14 +119,15 @@ def web_file_names(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT user_id * 1000 + event_id % 1000 AS id, event_id, event_type FROM events WHERE event_id < 500),
-tree AS (SELECT event_id AS id, CASE WHEN event_id = 0 THEN NULL ELSE (event_id - 1) // 3 END AS parent_id, event_id < 150 AS is_folder, CASE WHEN event_id < 150 THEN 'd' || event_id ELSE event_type || '.pdf' END AS name FROM l),
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM events),
+tree AS (SELECT event_id AS id, CASE WHEN event_id = 0 THEN NULL ELSE (event_id - 1) // 3 END AS parent_id, 3 * event_id < n AS is_folder, CASE WHEN 3 * event_id < n THEN 'd' || event_id ELSE event_type || '.pdf' END AS name FROM events, n),
 down AS (SELECT id, name, is_folder, '' AS folder FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, t.name, t.is_folder, d.folder || '/' || d.name FROM tree t JOIN down d ON t.parent_id = d.id AND d.is_folder)
 SELECT id, folder, name, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY id) = 1 THEN name ELSE regexp_replace(name, '[.]pdf$', '') || '_' || id || '.pdf' END AS local_name FROM down WHERE NOT is_folder""")
 def listed_files(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 500")
-    i = F.col("event_id")
-    return files.listed_files(e.select(i.alias("id"), F.when(i > 0, F.floor((i - 1) / 3)).alias("parent_id"), F.when(i < 150, F.concat(F.lit("d"), i)).otherwise(F.concat("event_type", F.lit(".pdf"))).alias("name"), (i < 150).alias("is_folder")))
+    """All events as a tree: the first third are folders of three."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, folder = F.col("event_id"), 3 * F.col("event_id") < e.count()
+    return files.listed_files(e.select(i.alias("id"), F.when(i > 0, F.floor((i - 1) / 3)).alias("parent_id"), F.when(folder, F.concat(F.lit("d"), i)).otherwise(F.concat("event_type", F.lit(".pdf"))).alias("name"), folder.alias("is_folder")))
 
 
 # --- filters and content -------------------------------------------------------------------------
@@ -211,7 +217,7 @@ def by_token_chunks_no_overlap(spark, sf_dir):
 
 
 SENTENCES_SQL = f"""
-WITH cut AS (SELECT doc_id, text, list_filter([regexp_replace(p, '^{SP}+|{SP}+$', '', 'g') for p in string_split(regexp_replace(text, '([.] |! |[?] |\\n)', '\\1' || chr(57344), 'g'), chr(57344))], lambda p: length(p) >= 12) AS parts FROM documents),
+WITH cut AS (SELECT doc_id, text, list_filter([regexp_replace(p, '^{SP}+|{SP}+$', '', 'g') for p in string_split(regexp_replace(text, '([.] |! |[?] |\\n)', '\\1' || chr(57344) || chr(57345), 'g'), chr(57344) || chr(57345))], lambda p: length(p) >= 12) AS parts FROM documents),
 whole AS (SELECT doc_id, CASE WHEN len(parts) > 0 THEN parts ELSE [regexp_replace(text, '^{SP}+|{SP}+$', '', 'g')] END AS parts FROM cut)
 SELECT doc_id, unnest(parts) AS sentence, unnest(range(len(parts)))::INTEGER AS pos FROM whole"""
 

@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomspan.functions.strings import extension
+from loomspan.lineage import written
 from loomspan.schema import FETCHED
 
-PARSEABLE = ("application/pdf", "image/jpeg", "image/png", "image/webp", "image/tiff", "image/gif", "image/bmp", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.openxmlformats-officedocument.presentationml.presentation", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet")
+OFFICE = {f".{k}": f"application/vnd.openxmlformats-officedocument.{v}" for k, v in (("docx", "wordprocessingml.document"), ("pptx", "presentationml.presentation"), ("xlsx", "spreadsheetml.sheet"))}
+PARSEABLE = ("application/pdf", *OFFICE.values(), *(f"image/{k}" for k in ("png", "jpeg", "jpg", "tiff", "bmp", "webp")))
 UNKNOWN_MIME = "application/octet-stream"
 
 
 def mime_type(path: Column) -> Column:
     """By extension, from the standard library's table, as a literal map: no join, no Python."""
-    table = F.create_map(*[F.lit(v) for kv in sorted(mimetypes.types_map.items()) for v in kv])
+    table = F.create_map(*[F.lit(v) for kv in sorted((mimetypes.types_map | OFFICE).items()) for v in kv])
     return F.coalesce(F.element_at(table, extension(path)), F.lit(UNKNOWN_MIME))
 
 
@@ -116,6 +118,28 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return d.select(F.regexp_replace("path", "^file:/*", "/").alias("source"), F.decode("content", "UTF-8").alias("value"))
 
 
+def read_rows(docs: DataFrame) -> DataFrame:
+    """(source, path) -> (source, value): text files read where the rows are, so paths don't pass the
+    driver. A path is one of a shared folder, or a URI that pyarrow's file systems know."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for path in b.column("path").to_pylist():
+                if "://" in path:
+                    system, at = fs.FileSystem.from_uri(path)
+                    with system.open_input_stream(at) as f:
+                        out.append(f.read())
+                else:
+                    out.append(Path(path).read_bytes())
+            yield pa.RecordBatch.from_arrays([b.column("source"), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())], ["source", "value"])
+
+    return docs.select("source", "path").mapInArrow(run, "source string, value string")
+
+
 def content_list_of(folder: str) -> str:
     """The content list in a parser's output folder; the first by name if there are several."""
     found = sorted(str(p) for p in Path(folder).glob("*_content_list.json"))
@@ -150,21 +174,24 @@ def download(spark: SparkSession, urls: list[str], get: Callable[[str], bytes],
     return d.select("source", "path", mime_type(F.col("path")).alias("mime_type"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 
-def listed_files(listing: DataFrame) -> DataFrame:
+def listed_files(listing: DataFrame, most_levels: int = 1000) -> DataFrame:
     """(id, parent_id, name, is_folder) -> files with their folder path and a name that's their own.
 
-    The tree is walked level by level by joins. Of files with one name all but the first by id
+    The tree is walked level by level by joins; a level is written once. A listing that is deeper than
+    ``most_levels`` holds a circle and is an error. Of files with one name all but the first by id
     take '{base}_{id}{ext}'."""
     from pyspark.sql.window import Window
 
     level = listing.filter("parent_id is null").select("id", "name", "is_folder", F.lit("").alias("folder"))
     every = level
-    while True:
+    for _ in range(most_levels):
         inside = level.filter("is_folder").select(F.col("id").alias("parent_id"), F.concat("folder", F.lit("/"), "name").alias("folder"))
-        level = listing.join(inside, "parent_id").select("id", "name", "is_folder", "folder")
+        level = written(listing.join(inside, "parent_id").select("id", "name", "is_folder", "folder"), "listing")
         if not level.limit(1).count():
             break
         every = every.unionByName(level)
+    else:
+        raise ValueError(f"the listing is deeper than {most_levels} levels")
     ext = F.regexp_extract("name", r"^.+(\.[^.]*)$", 1)
     base = F.substring("name", F.lit(1), F.length("name") - F.length(ext))
     nth = F.row_number().over(Window.partitionBy("name").orderBy("id"))
