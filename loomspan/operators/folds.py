@@ -459,7 +459,7 @@ def semantic_groups(vecs: np.ndarray, rules: SemanticRules) -> list[list[int]]:
     unit = vecs / np.where(norms == 0, 1.0, norms)
     k = max(1, rules.skip_window)
     sims = np.array([max(float(unit[i] @ unit[j]) for j in range(i + 1, min(i + k, n - 1) + 1)) for i in range(n - 1)])
-    level = smoothed(sims, rules.window, rules.order)
+    level = np.round(smoothed(sims, rules.window, rules.order), 9)  # so that sums in another order give the same cuts
     bound = np.percentile(level, rules.threshold) if rules.threshold_type == "percentile" else rules.threshold
     groups, begin = [], 0
     for i in np.flatnonzero(level < bound):
@@ -472,7 +472,7 @@ def semantic_groups(vecs: np.ndarray, rules: SemanticRules) -> list[list[int]]:
         while changed:
             changed, merged, i = False, [], 0
             while i < len(groups):
-                if i + 1 < len(groups) and _unit_cosine(vecs[groups[i]].mean(axis=0), vecs[groups[i + 1]].mean(axis=0)) >= least:
+                if i + 1 < len(groups) and round(_unit_cosine(vecs[groups[i]].mean(axis=0), vecs[groups[i + 1]].mean(axis=0)), 9) >= least:
                     merged.append(groups[i] + groups[i + 1])
                     i, changed = i + 2, True
                 else:

@@ -15,7 +15,7 @@ from loomspan.operators import blocks as B
 from loomspan.operators import chunkers as C
 from loomspan.operators import context as X
 from loomspan.operators import folds, joins, refine, similarity
-from loomspan.plans import fixtures
+from loomspan.plans import chunk_sql, fixtures
 from loomspan.plans.fixtures import BLOCKS_SQL, VECTORS_SQL
 from loomspan.sinks import chunks as S
 from loomspan.sources import files
@@ -228,37 +228,40 @@ def sentence_split(spark, sf_dir):
     return d.select("doc_id", F.posexplode(strings.split_sentences(F.col("text"), folds.DELIMITERS, "prev", 12)).alias("pos", "sentence"))
 
 
-@query()
+@query(chunk_sql.numbered(chunk_sql.sentences(TITLES_SQL, CONTENT_SQL, 512, 64), "packed"))
 def by_sentence_chunks(spark, sf_dir):
     return chunk_rows(C.BySentence(chunk_overlap=64)(fixtures.blocks(spark, sf_dir)))
 
 
-@query()
+@query(chunk_sql.recursive_chunks(TITLES_SQL, CONTENT_SQL, 128))
 def by_recursive_chunks(spark, sf_dir):
     return chunk_rows(C.Recursive(chunk_size=128)(fixtures.blocks(spark, sf_dir)))
 
 
-@query()
+@query(chunk_sql.semantic_chunks(TITLES_SQL, CONTENT_SQL, 25.0))
 def by_semantic_chunks(spark, sf_dir):
     return chunk_rows(C.Semantic()(fixtures.blocks(spark, sf_dir)))
 
 
-@query()
+@query(chunk_sql.semantic_chunks(TITLES_SQL, CONTENT_SQL, 25.0, 2))
 def by_semantic_merged_chunks(spark, sf_dir):
     return chunk_rows(C.Semantic(skip_window=2)(fixtures.blocks(spark, sf_dir)))
 
 
-@query()
+@query(chunk_sql.guided_chunks(TITLES_SQL, CONTENT_SQL, 512, 128))
 def guided_chunks(spark, sf_dir):
     return chunk_rows(C.Guided()(fixtures.blocks(spark, sf_dir)))
 
 
-@query()
+MULTIPASS_SQL = chunk_sql.multipass(TITLES_SQL, CONTENT_SQL, 150, "mini", (("normal", 512), ("large", 2048)))
+
+
+@query(f"{MULTIPASS_SQL} SELECT * FROM every")
 def multipass_chunks(spark, sf_dir):
     return chunk_rows(C.Multipass()(fixtures.blocks(spark, sf_dir)))
 
 
-@query()
+@query(f"{MULTIPASS_SQL} SELECT c.source, c.chunk_index, c.granularity, c.parent_index, p.granularity AS parent_granularity FROM every c JOIN every p ON p.source = c.source AND p.chunk_index = c.parent_index")
 def parent_links(spark, sf_dir):
     return joins.parents(C.Multipass()(fixtures.blocks(spark, sf_dir)))
 
@@ -344,7 +347,19 @@ def first_words(prompt: str) -> str:
     return f"{len(prompt)} {' '.join(prompt.split()[-3:])}"
 
 
-@query()
+def contextual_sql() -> str:
+    put = lambda template, *values: " || ".join(x for pair in zip(["'" + t.replace("'", "''") + "'" for t in template.split("{}")], [*values, "''"]) for x in pair)
+    return f"""{grouped_sql("part", "' || chr(10) || chr(10) || '").rpartition("SELECT")[0]},
+c AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY first) - 1)::INTEGER AS chunk_index, page_content FROM grouped),
+t AS (SELECT source, coalesce(string_agg(page_content, chr(10) || chr(10) ORDER BY chunk_index) FILTER ({chunk_sql.strip('page_content')} <> ''), '') AS full_text FROM c GROUP BY source),
+d AS (SELECT source, full_text, CASE WHEN length(full_text) <= {refine.MOST_CHARS} THEN full_text ELSE left(full_text, 9600) || ' […] ' || right(full_text, 14395) END AS doc_text FROM t),
+p AS (SELECT *, {put(refine.SUMMARY_PROMPT, "doc_text")} AS prompt FROM d),
+s AS (SELECT source, full_text, {chunk_sql.last_words("prompt", 3)} AS doc_summary FROM p),
+q AS (SELECT c.source, c.chunk_index, s.doc_summary, {chunk_sql.strip('c.page_content')} <> '' AS filled, {put(refine.CONTEXT_PROMPT, f"CASE WHEN length(s.full_text) > {refine.WHOLE_CHARS} THEN s.doc_summary ELSE s.full_text END", "c.page_content")} AS prompt FROM c JOIN s USING (source))
+SELECT source, chunk_index, doc_summary, CASE WHEN filled THEN {chunk_sql.last_words("prompt", 3)} ELSE '' END AS chunk_context FROM q"""
+
+
+@query(contextual_sql())
 def contextual_chunks(spark, sf_dir):
     d = refine.add_context(refine.refine(C.BySection()(fixtures.blocks(spark, sf_dir))), first_words)
     return d.select("source", "chunk_index", "doc_summary", "chunk_context")
