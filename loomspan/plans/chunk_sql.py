@@ -180,6 +180,11 @@ def _crc_table() -> list[int]:
     return out
 
 
+def crc32(w: str) -> str:
+    table = f"({_crc_table()}::BIGINT[])"
+    return f"xor(list_reduce([('0x' || hex(encode({w}))[2 * k + 1:2 * k + 2])::BIGINT for k in range(octet_length(encode({w})))], lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 def semantic_chunks(titles: str, content: str, percent: float, ahead: int = 0) -> str:
     """Sentences of single blocks, cut where the cosine of neighbours' hashed words is below the run's percentile.
 
@@ -187,13 +192,12 @@ def semantic_chunks(titles: str, content: str, percent: float, ahead: int = 0) -
     joined, pair by pair from the left, until no pair is.
 
     Smoothing by polynomials of degree 2 over 3 values gives the values themselves."""
-    crc = f"list_reduce([('0x' || hex(encode(w))[2 * k + 1:2 * k + 2])::BIGINT for k in range(octet_length(encode(w)))], lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)"
     head = f"""{runs(titles, content)},
 cut AS (SELECT source, run, block_index, title_path, title_level, {split('text', '[.] |! |[?] |' + chr(92) + 'n', True, 12)} AS parts FROM kept WHERE NOT edge AND {strip('text')} <> ''),
 raw AS (SELECT source, run, block_index, title_path, title_level, unnest(parts) AS s, unnest(range(len(parts))) AS j FROM cut),
 sent AS (SELECT *, row_number() OVER (PARTITION BY source, run ORDER BY block_index, j) AS i FROM raw),
 words AS (SELECT source, run, i, unnest(list_filter(regexp_split_to_array(lower(s), '{SP}+'), lambda w: w <> '')) AS w FROM sent),
-hashed AS (SELECT w, xor({crc}, 4294967295::BIGINT) AS h FROM (SELECT DISTINCT w FROM words)),
+hashed AS (SELECT w, {crc32('w')} AS h FROM (SELECT DISTINCT w FROM words)),
 adds AS (SELECT source, run, i, h % 64 AS slot, 1 AS x FROM words JOIN hashed USING (w) UNION ALL SELECT source, run, i, (h >> 16) % 64, CASE WHEN h & 32768 > 0 THEN -1 ELSE 1 END FROM words JOIN hashed USING (w)),
 vec AS (SELECT source, run, i, slot, sum(x)::DOUBLE AS x FROM adds GROUP BY source, run, i, slot),
 norms AS (SELECT source, run, i, sqrt(sum(x * x)) AS n FROM vec GROUP BY source, run, i),

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from loomspan.plans import registry
+from loomspan.plans import registry, registry_io  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
