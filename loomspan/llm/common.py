@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.lineage import drop, written  # noqa: F401
+
 #: One word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Java's spelling of the same.
@@ -20,49 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that every executor reaches: the one that the session's ``spark.checkpoint.dir`` names.
-
-    Where that is unset, a local master gets a temporary folder; on a cluster it is an error, since
-    tables in a folder of one machine would be lost with it.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="loomspan-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def _at(df: DataFrame, path: str):
-    jvm = df.sparkSession.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` into the shared folder and read it back.
-
-    The files outlive lost executors. ``drop`` removes them, or Spark's file system when the JVM ends.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, at = _at(df, path)
-    fs.deleteOnExit(at)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Removes the files of written tables that nothing reads any more: all that was made from them is written."""
-    for t in tables:
-        fs, at = _at(t, t._written_to)
-        fs.delete(at, True)
-
-
 def row_key(*columns: Column | str) -> list[Column]:
     """r1, r2: 128 bits that name a row's values of the columns."""
     return [F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit(7), *reversed(columns)).alias("r2")]

@@ -6,15 +6,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
-from .common import JAVA_WORD, packed, table, written
+from .common import JAVA_WORD, drop, joined_if_small, packed, row_key, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Keys of chosen documents that are broadcast at most (40 bytes each).
+SMALL = 500_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size) -> with ``target``.
+    """(source, source_size) -> with ``target`` and ``rank``, the source's number.
 
     Sources in code-point order, null last, take the weights in turn and divide ``share`` times
     all sizes. A target stops at ``most`` times its source's size; what it leaves is divided anew
@@ -36,34 +39,46 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
         stopped, level = n, (total - (fixed or 0.0)) / free if free else level
         if not free:
             break
-    return ranked.select("source", "source_size", F.least(top, F.col("w") * F.lit(level)).alias("target"))
+    return ranked.select("rank", "source", "source_size", F.least(top, F.col("w") * F.lit(level)).alias("target"))
 
 
-def tilted(size: np.ndarray, n: np.ndarray, target: float, most: float = 2.0, rounds: int = 100) -> np.ndarray:
-    """Rates r of documents with the given sizes, ``n`` of each: sum(n * size * r) = target.
+#: Newton's steps at most, and the part of a target by which a solution may miss it.
+STEPS, CLOSE = 100, 1e-9
 
-    Minimises sum(n * sqrt(size * mean) * (r log r - r)) under that token constraint and
-    r <= most. The dual has one multiplier; its optimum is r = min(most, exp(t * x)) with
-    x = sqrt(size / mean). Newton's steps on the dual stay inside a bracket that shrinks.
+
+def balanced(plan: DataFrame, most: float = 2.0) -> DataFrame:
+    """(rank, size, n, target) -> with ``rate``: of all rates up to ``most`` of documents for which each source's sum of
+    n * size * rate is its target, those nearest to 1 in entropy.
+
+    They minimise sum(n * (r log r - r)), so r = min(most, exp(t * x)) with x the size over the
+    source's mean and t its multiplier in the convex dual. Newton's steps for all sources' multipliers are taken at once: each
+    is one distributed aggregate of gradients and curvatures over all rows, which the sources' new multipliers are
+    written from. They stay inside brackets that shrink. Rows of size 0 have the rate 0.
     """
-    mass = n * size
-    mean, cap = mass.sum() / n.sum(), float(np.log(most))
-    x = np.sqrt(size / mean)
-    if target >= most * mass.sum() * (1 - 1e-12):
-        return np.full(len(size), most)
-    lo, hi, t = -50.0 / x.min(), cap / x.min(), 0.0
-    for _ in range(rounds):
-        e = np.minimum(t * x, cap)
-        r = np.exp(e)
-        gap = (mass * r).sum() - target
-        if abs(gap) <= 1e-9 * max(target, 1.0):
+    some, cap = plan.filter("size > 0"), float(np.log(most))
+    state = some.groupBy("rank").agg(F.first("target").alias("target"), F.sum(F.col("n") * F.col("size")).alias("mass"), F.sum("n").alias("docs"), F.min("size").alias("least"))
+    first = F.col("least") * F.col("docs") / F.col("mass")
+    full = F.col("target") >= F.col("mass") * F.lit(most * (1 - 1e-12))
+    state = state.select("rank", "target", (F.col("mass") / F.col("docs")).alias("mean"), F.lit(0.0).alias("t"), (F.lit(-50.0) / first).alias("lo"), (F.lit(cap) / first).alias("hi"), full.alias("full"), full.alias("done"))
+    state = written(state, "mix-state")
+    for _ in range(STEPS):
+        if not state.filter("not done").limit(1).count():
             break
-        lo, hi = (lo, t) if gap > 0 else (t, hi)
-        slope = (mass * x * r)[e < cap].sum()
-        t = t - gap / slope if slope > 0 else lo
-        if not lo < t < hi:
-            t = (lo + hi) / 2
-    return r
+        at = some.select("rank", "size", "n").join(state.filter("not done").select("rank", "mean", "t"), "rank")
+        x, mass = F.col("size") / F.col("mean"), F.col("n") * F.col("size")
+        e = F.least(F.col("t") * x, F.lit(cap))
+        sums = at.groupBy("rank").agg(F.sum(mass * F.exp(e)).alias("_sum"), F.sum(F.when(e < cap, mass * x * F.exp(e)).otherwise(0.0)).alias("_slope"))
+        gap = F.col("_sum") - F.col("target")
+        new = state.join(sums, "rank", "left").withColumns({"_lo": F.when(gap > 0, F.col("lo")).otherwise(F.col("t")), "_hi": F.when(gap > 0, F.col("t")).otherwise(F.col("hi")), "_to": F.col("t") - gap / F.nullif(F.col("_slope"), F.lit(0.0))})
+        inside = (F.col("_to") > F.col("_lo")) & (F.col("_to") < F.col("_hi"))
+        met = F.col("done") | (F.abs(gap) <= CLOSE * F.greatest(F.col("target"), F.lit(1.0)))
+        moved = F.when(met, F.col("t")).when(inside, F.col("_to")).otherwise((F.col("_lo") + F.col("_hi")) / 2)
+        new = new.select("rank", "target", "mean", moved.alias("t"), *[F.when(met, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("lo", "hi")], "full", met.alias("done"))
+        before, state = state, written(new, "mix-state")
+        drop(before)
+    out = plan.join(state.select("rank", "mean", "t", "full"), "rank", "left")
+    rate = F.when(F.col("size") <= 0, 0.0).when(F.col("full"), most).otherwise(F.least(F.exp(F.col("t") * F.col("size") / F.col("mean")), F.lit(most)))
+    return out.withColumn("rate", rate).drop("mean", "t", "full")
 
 
 def rounded(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: float, most: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +101,7 @@ def mix_to_targets(docs: DataFrame, size: Column, source: str = "source", key: s
 
     Documents enter the optimisation as a histogram (source, size, number), aggregated before
     the shuffle: its rows per source are bounded by the lengths that texts can have, not by
-    the number of documents. The constraints of different sources share no variable, so the
-    Hessian is diagonal by source and each source's Newton iterations run in a task of its own.
+    the number of documents. The rates come from ``balanced``; a task rounds those of a source's histogram.
     Among documents of one size those with the smallest hashes of key and text get the further
     copy. They are ranked by counts of hash ranges first and then within a range, so no task
     sorts a whole source. Reruns give the same copies.
@@ -100,19 +114,17 @@ def mix_to_targets(docs: DataFrame, size: Column, source: str = "source", key: s
     hist = written(d.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = source_targets(hist.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("_size") * F.col("n")).alias("source_size")), weights, share, most)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_size", ignore_index=True)
-        s, n = pdf["_size"].to_numpy(float), pdf["n"].to_numpy(float)
-        some = s > 0
-        rate, base, more = np.zeros(len(s)), np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf["_size"].to_numpy() > 0
+        base, more = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         if some.any():
-            target = float(pdf["target"].iloc[0])
-            rate[some] = tilted(s[some], n[some], target, most)
-            base[some], more[some] = rounded(s[some], n[some], rate[some], target, most)
-        return pd.DataFrame({"_source": pdf["_source"], "_size": pdf["_size"], "source_size": pdf["source_size"], "target": pdf["target"], "rate": rate, "base": base, "more": more})
+            s, n, rate = (pdf[c].to_numpy(float)[some] for c in ("_size", "n", "rate"))
+            base[some], more[some] = rounded(s, n, rate, float(pdf["target"].iloc[0]), most)
+        return pdf[["_source", "_size", "source_size", "target", "rate"]].assign(base=base, more=more)
 
     plan = hist.join(targets, hist["_source"].eqNullSafe(targets["source"])).drop("source")
-    plan = plan.groupBy("_source").applyInPandas(solve, "_source string, _size long, source_size long, target double, rate double, base long, more long")
+    plan = balanced(written(plan.withColumnRenamed("_size", "size"), "mix-rates"), float(most)).withColumnRenamed("size", "_size")
+    plan = plan.groupBy("rank").applyInPandas(whole, "_source string, _size long, source_size long, target double, rate double, base long, more long")
     plan = written(plan, "mix-plan")
     # which documents of a size get the further copy
     part = F.shiftrightunsigned("_h", 52)
@@ -142,7 +154,24 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row per copy, numbered by ``copy`` (which replaces a column of that name);
-    documents without a copy go."""
-    out = mix_to_targets(docs, n_words(F.col("text")))
-    copies = out.filter(F.col("_copies") > 0).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    documents without a copy go.
+
+    Copies are chosen on keys; the rows themselves move once at most. Rows that are equal in all columns are
+    one, with the sum of their copies.
+    """
+    every = [F.to_json(c) if isinstance(docs.schema[c].dataType, MapType) else F.col(f"`{c}`") for c in docs.columns]
+    key = ["r1", "r2"]
+    r1, r2 = row_key(*every)
+    keys = written(docs.select(r1, r2, F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("_w")), "mix-keys")
+    chosen = mix_to_targets(keys, F.col("_w"), key="r1").select("_row.r1", "_row.r2", "_copies")
+    chosen = written(chosen.groupBy(*key).agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0"), "mix-chosen")
+    rows = packed(docs, r1=r1, r2=r2)
+    out = joined_if_small(rows, chosen.filter("_rows = 1"), key, "inner", SMALL).select("_row", "_copies", F.lit(1).cast("long").alias("_rows"))
+    twice = chosen.filter("_rows > 1")
+    if twice.limit(1).count():
+        equal = joined_if_small(rows, twice.select(key), key, "left_semi", SMALL).groupBy(*key).agg(F.first("_row").alias("_row"))
+        out = out.unionByName(equal.join(twice, key).select("_row", "_copies", "_rows"))
+    # of equal rows each has its share of the copies, those that come first one more
+    number = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1), lambda i: (F.floor(i / F.col("_rows")) + 1).cast("int"))
+    copies = out.select("_row", F.explode(number).alias("_copy"))
     return copies.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c != "copy"], F.col("_copy").alias("copy"))

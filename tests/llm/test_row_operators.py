@@ -295,16 +295,39 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_stage(spark, none, "").count() == 0
 
 
-def test_tilted_rates_meet_the_target():
+def test_rates_are_the_optimum_of_the_dual(spark):
+    """Distributed Newton steps against bisection of each source's dual, at targets from next to nothing to the stop."""
     import numpy as np
 
     rng = np.random.default_rng(0)
-    size, n = np.unique(rng.integers(1, 20_000, 500)).astype(float), None
-    n = rng.integers(1, 9, len(size)).astype(float)
-    for share in (0.01, 0.5, 1.0, 1.5, 1.999, 2.0):
-        target = share * (size * n).sum()
-        r = mixing.tilted(size, n, target)
-        assert (size * n * r).sum() == pytest.approx(target, rel=1e-6) and r.max() <= 2 + 1e-9 and r.min() >= 0
-        base, more = mixing.rounded(size, n, r, target)
-        assert abs(((base * n + more) * size).sum() - target) <= max(20_000 * 0.5, 1e-3 * target)
+    rows, want = [], {}
+    for rank, share in enumerate((0.01, 0.5, 1.0, 1.5, 1.999, 2.0, 1.2)):
+        size = np.unique(np.r_[0, rng.integers(1, 20_000, 300)] if rank < 6 else np.array([7]))
+        n = rng.integers(1, 9, len(size))
+        target = share * float((size * n).sum())
+        rows += [(rank, int(s), int(k), target) for s, k in zip(size, n)]
+        x = size / ((size * n).sum() / n[size > 0].sum())
+        rate = lambda t: np.where(size > 0, np.minimum(np.exp(np.minimum(t * x, 50)), 2), 0)
+        lo, hi = -1e5, 1e5
+        for _ in range(200):
+            t = (lo + hi) / 2
+            lo, hi = (t, hi) if (size * n * rate(t)).sum() < target else (lo, t)
+        want |= {(rank, int(s)): r for s, r in zip(size, rate(hi))}
+        base, more = mixing.rounded(size[size > 0].astype(float), n[size > 0].astype(float), rate(hi)[size > 0], target)
+        assert abs(((base * n[size > 0] + more) * size[size > 0]).sum() - target) <= max(20_000 * 0.5, 1e-3 * target)
         assert ((base + (more > 0)) <= 2).all()
+    got = mixing.balanced(spark.createDataFrame(rows, "rank long, size long, n long, target double")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.rate == pytest.approx(want[r.rank, r.size], rel=1e-4, abs=1e-6), r
+
+
+def test_mixing_stage_with_equal_rows(spark):
+    """Equal rows share their copies; maps and rows that differ elsewhere are told apart."""
+    rows = [(1, "a b c d", "s", {"k": "1"})] * 3 + [(1, "a b c d", "s", {"k": "2"})] + [(i, "w " * i, "t", None) for i in range(2, 30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,string>")
+    got = mixing.mix_stage(spark, d, "").collect()
+    each = collections.Counter((r.doc_id, r.text, str(r.m)) for r in got)
+    had = collections.Counter((i, t, str(m)) for i, t, _, m in rows)
+    assert all(each[k] <= 2 * had[k] for k in each) and max(r.copy for r in got) <= 2
+    assert sum(len(r.text.split()) for r in got if r.source == "s") == pytest.approx(water({"s": 16, "t": sum(range(2, 30))})["s"], abs=4)
