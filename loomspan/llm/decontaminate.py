@@ -22,6 +22,8 @@ SEGMENT_LEAST, MATCHES_LEAST, SHARE = 6, 12, 80
 FALL = 6
 #: Segments that begin within this many item lengths are one neighbourhood.
 REACH = 2
+#: Diagonals on either side of a hit's that are laid over as well: tokens put in or dropped move what follows.
+BESIDE = 2
 #: Items of fewer tokens than this are ordinary phrases inside a text: they count as whole lines only.
 ITEM_LEAST = 5
 #: Tokens of items that are broadcast at most.
@@ -93,7 +95,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Seeds of all items are joined with the seeds of every document: broadcast if their
     number is small, else by shuffle. A hit proposes a diagonal; on each diagonal the item is
-    laid over the whole document's tokens and all its segments of positive sum are taken, which
+    laid over the whole document's tokens, there and at its neighbours, and all its segments of positive sum are taken, which
     may contain substituted tokens. Segments of all diagonals that begin near each other in the
     document add up, so inserted, dropped or many substituted tokens don't hide a passage.
     ``matches`` counts different tokens of the item, and no token of the document twice: a phrase
@@ -120,6 +122,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = joined_if_small(windows(toks, ["r1", "r2"], length, masks), seeds, ["seed"], "inner", SMALL)
         hits.append(found.select("r1", "r2", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct())
     hits = reduce(DataFrame.unionByName, hits).distinct()
+    hits = hits.select("r1", "r2", "item", F.explode(F.sequence(F.col("diagonal") - BESIDE, F.col("diagonal") + BESIDE)).alias("diagonal")).distinct()
     hits = written(hits.groupBy("r1", "r2", "item").agg(F.collect_list("diagonal").alias("diagonals")), "dc-hits")
     met = written(hits.select("r1", "r2").distinct(), "dc-met")
     near = joined_if_small(rows, met, ["r1", "r2"], "left_semi", SMALL).dropDuplicates(["r1", "r2"]).select("r1", "r2", "doc_id", tokens(F.col("text")).alias("_doc"))
@@ -127,7 +130,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = items.agg(F.sum(F.size("toks"))).first()[0] or 0
     laid = laid.join(F.broadcast(items) if held <= TOKENS else items, "item").select("r1", "r2", "doc_id", "item", "item_id", "_doc", "toks", F.explode("diagonals").alias("d"))
     begin = F.greatest(F.col("d"), F.lit(0))
-    size = F.least(F.size("_doc") - begin, F.size("toks") - (begin - F.col("d")))
+    size = F.greatest(F.least(F.size("_doc") - begin, F.size("toks") - (begin - F.col("d"))), F.lit(0))
     same = F.zip_with(F.slice("_doc", begin + 1, size), F.slice("toks", begin - F.col("d") + 1, size), lambda x, y: x == y)
     matched = F.size(F.filter("same", lambda x: x))
     whole = F.array(F.struct(matched.alias("n"), F.lit(0).alias("first"), (F.size("same") - 1).alias("last")))

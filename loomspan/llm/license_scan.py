@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ COVERAGE, SHORT, SHORT_COVERAGE = 0.6, 20, 0.8
 #: Alignments of one template are parts of one license text if they follow each other in both, with
 #: at most GAP words put in between; a part has at least PART_LEAST matches that others lack.
 GAP, PART_LEAST = 200, 8
+#: Of a template of at least LONG words, this share of the fingerprints must be in a document before anything is
+#: aligned, and what is aligned is the surroundings of hits: AROUND words on either side, hits farther apart than twice
+#: that on their own.
+LONG, HIT_SHARE, AROUND = 200, 0.1, 100
 
 
 def words_of(data: np.ndarray, off: np.ndarray):
@@ -51,6 +56,7 @@ class Index:
             g, _ = ts.gram_hashes(h, np.zeros(len(h), np.int8), GRAM)
             rows += [(g[j], i, j) for j in winnowed(g)]
         rows.sort()
+        self.prints = Counter(r[1] for r in rows)
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.template, self.place = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
 
@@ -121,24 +127,33 @@ def chained(parts: list[list[tuple[int, int]]], size: int) -> list[tuple[int, in
 def found_in(h: np.ndarray, hits: list[tuple[int, int, int]], index: Index) -> list[tuple[int, int, int, int]]:
     """(template, matches, first, last) for one text's words; hits: (template, begin, place).
 
-    Hits of one template whose proposed beginnings lie within the band are one candidate. The
-    candidates' alignments are chained before their coverage is judged, so words put into a
+    Hits of one template whose proposed beginnings lie within the band are one candidate; of a long
+    template, neighbouring ones (see LONG). The candidates' alignments are chained before their coverage is judged, so words put into a
     license text don't hide it. A match inside another with as many matches or more is left out.
     """
     parts: dict[int, list] = {}
+    places: dict[int, set] = {}
+    for t, _, p in hits:
+        places.setdefault(t, set()).add(p)
+    hits = sorted(x for x in set(hits) if len(index.words[x[0]]) < LONG or len(places[x[0]]) >= HIT_SHARE * index.prints[x[0]])
     k = 0
-    hits = sorted(set(h[:2] for h in hits))
     while k < len(hits):
-        t, begin = hits[k]
+        t, begin, _ = hits[k]
         a = index.words[t]
         band = min(BAND, max(BAND_LEAST, len(a) // 4))
         end = k + 1
         while end < len(hits) and hits[end][0] == t and hits[end][1] - begin <= band:
             end += 1
-        lo = max(0, begin - band)
-        b = h[lo : begin + len(a) + 2 * band]
-        if found := align(a, b, begin - lo, band):
-            parts.setdefault(t, []).append([(i, lo + j) for i, j in found])
+        near = sorted(p for _, _, p in hits[k:end])
+        cuts = [0, *(i for i in range(1, len(near)) if near[i] - near[i - 1] > 2 * AROUND), len(near)] if len(a) >= LONG else [0, len(near)]
+        for i, j in zip(cuts, cuts[1:]):
+            first, last = (max(0, near[i] - AROUND), near[j - 1] + GRAM + AROUND) if len(a) >= LONG else (0, len(a))
+            part = a[first:last]
+            at = begin + first
+            lo = max(0, at - band)
+            b = h[lo : max(0, at + len(part) + 2 * band)]
+            if found := align(part, b, at - lo, band):
+                parts.setdefault(t, []).append([(first + x, lo + y) for x, y in found])
         k = end
     out = []
     for t, found in parts.items():
@@ -187,9 +202,10 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES)
     Fingerprints of GRAM words of every document are looked up in the inverted index of the
     templates' winnowed fingerprints; each proposes where a template would begin, and a banded
     alignment there gives matched words; alignments of one template that follow each other are
-    one text, with their coverage of the template and the span in code points. The index holds the templates alone and doesn't grow with the data; nothing is
-    shuffled. Documents without a license text, null texts among them, give no row; equal rows
-    give equal rows. A template of fewer than GRAM words has no fingerprint and isn't found.
+    one text, with their coverage of the template and the span in code points. The index holds the
+    templates alone and doesn't grow with the data; nothing is shuffled. Documents without a license text, null texts among them, give no row; equal rows
+    give equal rows. A template of fewer than GRAM words has no fingerprint and isn't
+    found, nor is a text of which no GRAM words in a row are left.
     """
     d = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     return d.mapInArrow(_scan(Index(templates)), SCHEMA)

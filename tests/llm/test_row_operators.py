@@ -194,6 +194,63 @@ def test_decontamination(spark, docs, tmp_path):
     assert cases.spread(out.select("doc_id", "r1").collect()) == cases.spread(docs.select("doc_id", "r1").collect())
 
 
+def brute_leaks(doc, item):
+    """Different item tokens in the best neighbourhood of segments over all diagonals."""
+    segs = []
+    for d in range(-len(item) + 1, len(doc)):
+        lo = max(d, 0)
+        same = [x == y for x, y in zip(doc[lo:], item[lo - d :])]
+        runs, i = [], 0
+        while i < len(same):
+            total = best = n = best_n = 0
+            first, last, j = i, -1, i
+            while j < len(same):
+                if j > i and (total <= 0 or best - total >= decontaminate.FALL):
+                    break
+                total += 1 if same[j] else -decontaminate.MISMATCH
+                n += same[j]
+                if total > best:
+                    best, best_n, last = total, n, j
+                j += 1
+            if best > 0:
+                runs.append((best_n, first, last))
+            i = j
+        if len(item) < decontaminate.SHORT:
+            runs = [(sum(same), 0, len(same) - 1)]
+        segs += [(lo + a, {lo + k for k in range(a, z + 1) if same[k]}, {lo + k - d for k in range(a, z + 1) if same[k]}) for n, a, z in runs if n >= min(decontaminate.SEGMENT_LEAST, len(item))]
+    most = 0
+    for a, _, _ in segs:
+        near = [s for s in segs if 0 <= s[0] / len(item) - a / len(item) <= decontaminate.REACH]
+        most = max(most, min(len(set().union(*(s[1] for s in near))), len(set().union(*(s[2] for s in near)))))
+    return most if most >= decontaminate.needed(len(item)) else 0
+
+
+def test_decontamination_against_all_diagonals(spark):
+    """Items laid over documents at every diagonal, without seeds: the same pairs, and as many tokens."""
+    import random
+
+    rng = random.Random(8)
+    items = [[f"i{rng.randrange(3000)}" for _ in range(n)] for n in (7, 8, 10, 14, 15, 20, 30, 45)]
+    docs = []
+    for k in range(48):
+        t = list(items[k % 8])
+        for _ in range(rng.randint(0, max(0, len(t) // (3 if k % 2 else 6)))):
+            t[rng.randrange(len(t))] = "swapped"
+        if k % 3 == 1 and len(t) >= 2 * decontaminate.SPAN:
+            at = rng.randrange(len(t))
+            t[at:at] = ["put", "in"][: rng.randint(1, 2)]
+        if k % 3 == 2 and len(t) >= 2 * decontaminate.SPAN:
+            del t[rng.randrange(len(t))]
+        w = [f"d{rng.randrange(5000)}" for _ in range(rng.randint(0, 60))]
+        docs.append(w + t + w[::-1])
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matches for r in decontaminate.leaks(d, b).collect()}
+    want = {(i, j): n for i, t in enumerate(docs) for j, x in enumerate(items) if (n := brute_leaks(t, x))}
+    assert set(got) == set(want) and 15 < len(want) < 48
+    assert all(0 <= want[k] - got[k] <= 3 for k in want)  # a diagonal of few matches may have no seed
+
+
 def test_decontamination_by_tiny_items(spark):
     """Items of a few tokens count as lines of their own, inside other text they are phrases."""
     d = spark.createDataFrame([(0, "some text\nTwo words!\nmore text"), (1, "with two words in it"), (2, "two words"), (3, "w\nw w\nw"), (4, None)], "doc_id long, text string")
@@ -228,7 +285,7 @@ def test_decontamination_counts_different_tokens(spark):
 
 
 def test_licenses(spark):
-    mit = dict(license_scan.TEMPLATES)  # the last of a name
+    mit = dict(license_scan.TEMPLATES[:31])  # notices: the last of a name
     full = license_scan.TEMPLATES[0][1]
     changed = full.replace("associated documentation", "linked papers").replace(", sublicense,", "")
     texts = ["é x. " + mit["Apache-2.0"] + " y", "a\n" + changed.replace(" ", "\n") + "\nb", "all rights were reserved", None, "", "the license of the license of", mit["proprietary"] + " and " + mit["proprietary"]]
@@ -243,6 +300,71 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_full_license_texts(spark):
+    """Long licenses, whole, reflowed, with a word in fifty changed and pages of other text put in; halves aren't found."""
+    import random
+
+    rng = random.Random(3)
+    long = license_scan.TEMPLATES[31:]
+    rows = []
+    for i, (_, text) in enumerate(long):
+        w = text.split()
+        changed = [f"x{k}" if rng.random() < 0.02 else x for k, x in enumerate(w)]
+        for at in (len(w) // 4, len(w) // 2):
+            changed[at:at] = [f"page{k}" for k in range(60)]
+        rows += [(3 * i, "before " + "\n".join(w) + " after"), (3 * i + 1, " ".join(changed)), (3 * i + 2, " ".join(w[: len(w) // 2]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.defaultdict(set)
+    for r in license_scan.scan_licenses(d).collect():
+        if r.n_template >= license_scan.LONG:
+            got[r.doc_id].add((r.license, r.coverage > 0.9))
+    for i, (name, _) in enumerate(long):
+        assert (name, True) in got[3 * i] and (name, True) in got[3 * i + 1], name
+        assert name not in {x[0] for x in got[3 * i + 2]}, name
+
+
+def full_alignment(a, b):
+    """Most matches of the best local alignment, without a band; of equal scores, the most matches."""
+    best, row = (0, 0), [(0, 0)] * (len(b) + 1)
+    for x in a:
+        new = [(0, 0)]
+        for j, y in enumerate(b, 1):
+            s, n = row[j - 1]
+            c = max((s + 1, n + 1) if x == y else (s - 1, n), (row[j][0] - 1, row[j][1]), (new[-1][0] - 1, new[-1][1]))
+            new.append(c if c[0] > 0 else (0, 0))
+            best = max(best, new[-1])
+        row = new
+    return best[1]
+
+
+def test_licenses_against_full_alignment(spark):
+    """Every template laid over every text without index and band. Extra columns and repeated rows do no harm."""
+    import random
+
+    rng = random.Random(4)
+    templates = [(f"L{k}", cases.sentence(rng, n, 3000).replace(",", "").replace(".", "")) for k, n in enumerate((5, 9, 16, 24, 40, 80))]
+    texts = []
+    for k in range(24):
+        w = cases.sentence(rng, 30, 3000).split()
+        t = templates[k % 6][1].split()
+        share = (k // 6) * 0.08
+        t = [x if rng.random() > share else "other" for x in t]
+        if k % 5 == 0 and len(t) > 8:  # of fewer words, none of three in a row would be left
+            del t[len(t) // 2]
+        texts.append(" ".join(w[:15] + t + w[15:]))
+    d = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)] + [(0, texts[0], 2, "y")], "doc_id long, text string, start int, license string")
+    got = license_scan.scan_licenses(d, templates).collect()
+    plain = lambda t: re.findall(r"\w+", t.lower())
+    want = set()
+    for i, text in enumerate(texts):
+        for name, t in templates:
+            n, size = full_alignment(plain(t), plain(text)), len(plain(t))
+            if n >= (license_scan.SHORT_COVERAGE if size < license_scan.SHORT else license_scan.COVERAGE) * size:
+                want.add((i, name, n))
+    assert {(r.doc_id, r.license, r.n_matched) for r in got} == want and len(want) > 12
+    assert len(got) == len(want) + sum(1 for x in want if x[0] == 0)
+
+
 def test_license_with_words_put_in(spark):
     """More words than the band between or inside the parts of a license text don't hide it; halves far apart or in the wrong order are none."""
     full = license_scan.TEMPLATES[0][1].split()
