@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOTH_MOST, CHAR_LEAST_CHARS, CHAR_MOST, REFERENCES, SYMBOLS, WORD_LEAST_WORDS, WORD_MOST
+from .quality import BOTH_MOST, CHAR_LEAST_CHARS, CHAR_MOST, COMMON, DOCS_LEAST, LABELLED, SYMBOLS, WORD_LEAST_WORDS, WORD_MOST, WORDS_LEAST
 from .secrets import BASE, INNER, MORE, OWNERS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,8 +20,7 @@ def quality() -> str:
     lengths = ["n_chars", *(f"length(l{i})" for i in range(len(classes))), "0"]
     shares = ", ".join(f"({a} - {b})::DOUBLE / n_chars" for a, b in zip(lengths, lengths[1:]))
     part = lambda x, m: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / {m}) ELSE 0 END"
-    ref_chars = " UNION ALL ".join(f"SELECT '{k}' AS lang, unnest({[*r[0], round(1 - sum(r[0]), 6)]}) AS q, unnest(range(6)) AS i" for k, r in REFERENCES.items())
-    ref_words = " UNION ALL ".join(f"SELECT '{k}' AS lang, unnest({list(r[1])}) AS w, unnest({list(r[1].values())}) AS q" for k, r in REFERENCES.items())
+    sums = ", ".join(f"(sum({x}) - sum({y}))::DOUBLE / sum(n_chars)" for x, y in zip(lengths, [*lengths[1:-1], "n_chars * 0"]))
     return f"""
 WITH {chain},
 w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM documents),
@@ -29,10 +28,14 @@ win AS (SELECT doc_id, k, array_to_string(w[k + 1:k + 5], ' ') AS g FROM (SELECT
 again AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM again) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
-rc AS ({ref_chars}),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+fit AS (SELECT t.*, len(w.w) AS n_words FROM t{len(classes)} t JOIN w USING (doc_id) WHERE t.doc_id IN (SELECT doc_id FROM good WHERE doc_id % (SELECT greatest(1, ceil(count(*) / {LABELLED}))::BIGINT FROM good) = 0) AND n_chars >= {CHAR_LEAST_CHARS} AND lang IS NOT NULL),
+enough AS (SELECT lang, sum(n_words) AS n_words, [{sums}] AS shares FROM fit GROUP BY lang HAVING count(*) >= {DOCS_LEAST} AND sum(n_words) >= {WORDS_LEAST}),
+rc AS (SELECT lang, CASE WHEN i = {len(classes)} THEN 1 - list_reduce(shares[1:{len(classes)}], lambda a, x: a + x) ELSE shares[i + 1] END AS q, i FROM enough, (SELECT unnest(range({len(classes) + 1})) AS i)),
 share AS (SELECT doc_id, lang, unnest([{shares}]) AS p, unnest(range(6)) AS i FROM t{len(classes)} WHERE n_chars >= {CHAR_LEAST_CHARS}),
 cd AS (SELECT doc_id, sqrt(greatest(sum({part('p', '((p + q) / 2)')} + {part('q', '((p + q) / 2)')}) / 2, 0)) AS d FROM share JOIN rc USING (lang, i) GROUP BY doc_id),
-rw AS ({ref_words}),
+often AS (SELECT lang, lower(x) AS w, count(*) AS c FROM (SELECT f.lang, unnest(w.w) AS x FROM fit f JOIN w USING (doc_id)) GROUP BY lang, lower(x)),
+rw AS (SELECT lang, w, c::DOUBLE / e.n_words AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, w) AS k FROM often) JOIN enough e USING (lang) WHERE k <= {COMMON}),
 tok AS (SELECT doc_id, lower(x) AS w, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM w WHERE len(w) >= {WORD_LEAST_WORDS}) GROUP BY doc_id, lower(x)),
 hist AS (SELECT d.doc_id, coalesce(t.c, 0)::DOUBLE / len(w.w) AS p, r.q FROM documents d JOIN w ON w.doc_id = d.doc_id AND len(w.w) >= {WORD_LEAST_WORDS} JOIN rw r ON r.lang = d.lang LEFT JOIN tok t ON t.doc_id = d.doc_id AND t.w = r.w),
 whole AS (SELECT doc_id, p, q FROM hist UNION ALL SELECT doc_id, 1 - sum(p), 1 - sum(q) FROM hist GROUP BY doc_id),

@@ -35,7 +35,7 @@ def base_quality(text):
 
 
 def test_quality_base(docs):
-    got = quality.quality_rules(docs.select("doc_id", "text", "lang")).collect()
+    got = quality.quality_rules(docs.select("doc_id", "text", "lang"), {}).collect()
     want = cases.spread((r[0], *base_quality(r[1])) for r in cases.documents())
     assert cases.spread((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
     assert all(r.kept is not None and not (r.base_failed and r.kept) for r in got)
@@ -44,23 +44,39 @@ def test_quality_base(docs):
 def test_quality_distances(spark):
     prose = "The house of the man is in the town and that is to be of use for it. It was with a child on the road as this came from the old part by it. " * 3
     rows = [(1, prose, "en"), (2, prose.upper().replace(" ", "!! ") + "#$% ### " * 60, "en"), (3, "table | of | cells | here | " * 3, "en"), (4, prose, "zz"), (5, prose, None)]
-    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    english = {"en": ((0.79, 0.17, 0.02, 0.02, 0.0), {w: prose.lower().split().count(w) / len(prose.split()) for w in ("the", "of", "in", "is", "it", "on")})}
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), english).collect()}
     p = [0.2, 0.8, 0.0]
     q = [0.5, 0.25, 0.25]
     d = spark.range(1).select(quality.js_distance(list(map(F.lit, p)), list(map(F.lit, q)))).first()[0]
     m = [(a + b) / 2 for a, b in zip(p, q)]
     kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
     assert d == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))
-    assert got[1].char_distance < 0.15 and got[1].word_distance < 0.42
+    assert got[1].char_distance < 0.15 and got[1].word_distance < 0.05
     assert got[2].char_distance > quality.CHAR_MOST
     assert got[3].char_distance is None  # shorter than the guard
     assert got[4].char_distance is None and got[5].word_distance is None
 
 
-def test_quality_stage_carries_columns(spark, docs, none):
-    out = quality.quality_stage(spark, docs, "")
+def test_quality_references_from_labelled_rows(spark):
+    """Histograms of good documents, by language; few, short, unlabelled or bad ones make none."""
+    rows = [(i, f"Aa b, {'word' * 3} the of 12 " * 12 + f"x{i}", "en") for i in range(60)] + [(100 + i, "zz " * 200, "de") for i in range(5)] + [(200 + i, "bad " * 100, "en") for i in range(60)] + [(300 + i, "x y", "fr") for i in range(60)] + [(400, None, None)]
+    labels = [(r[0], 0 if 200 <= r[0] < 300 else 1) for r in rows if r[0] % 2 == 0] + [(0, 1), (9999, 1)]
+    got = quality.fitted_references(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert set(got) == {"en"}
+    texts = [r[1] for r in rows if r[0] < 60 and r[0] % 2 == 0]
+    n, w = sum(map(len, texts)), collections.Counter(x for t in texts for x in cases.words(t.lower()))
+    want = [sum(len(re.findall(p, t)) for t in texts) / n for p in ("[a-z]", r"\s", "[A-Z]", "[,]", "[0-9]")]
+    assert got["en"][0] == pytest.approx(want)
+    best = sorted(w.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]
+    assert got["en"][1] == pytest.approx({k: c / sum(w.values()) for k, c in best})
+
+
+def test_quality_stage_carries_columns(spark, docs, none, tmp_path):
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = quality.quality_stage(spark, docs, str(tmp_path))
     assert out.schema == docs.schema and set(r.kept for r in out.collect()) == {"k"}
-    assert quality.quality_stage(spark, none, "").count() == 0
+    assert quality.quality_stage(spark, none, str(tmp_path)).count() == 0
 
 
 def brute_lines(rows):
