@@ -11,6 +11,8 @@ from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
+from loomspan.interfaces import Model
+
 
 class Busy(Exception):
     """The service asks to try again."""
@@ -30,7 +32,7 @@ def post(url: str, headers: dict[str, str], body: dict, timeout: float = 120) ->
 
 
 @dataclass(frozen=True)
-class ChatModel:
+class ChatModel(Model):
     """generate, generate_json, generate_vision and generate_contextual by one endpoint.
 
     Calls that meet a busy service are repeated, ``attempts`` in all, after waits that double up to

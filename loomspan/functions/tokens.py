@@ -55,8 +55,8 @@ def from_callable(count: Callable[[str], int], name: str = "callable") -> TokenC
 def resolve(tokenizer: object = None) -> TokenCounter:
     """A counter from None, a name, a counter, an object with count_tokens, or a callable.
 
-    Names are those of BUILT_IN, the path of a tokenizers JSON file, or a tiktoken encoding
-    whose vocabulary is at hand.
+    Names are those of BUILT_IN, the path of a tokenizers JSON file, a tiktoken encoding
+    whose vocabulary is at hand, or a model that transformers has on disk.
     """
     if tokenizer is None:
         return BUILT_IN["heuristic"]
@@ -66,7 +66,7 @@ def resolve(tokenizer: object = None) -> TokenCounter:
         if tokenizer in BUILT_IN:
             return BUILT_IN[tokenizer]
         errors: dict[str, str] = {}
-        for backend, load in (("tokenizers", _tokenizers), ("tiktoken", _tiktoken)):
+        for backend, load in (("tokenizers", _tokenizers), ("tiktoken", _tiktoken), ("transformers", _transformers)):
             try:
                 return load(tokenizer)
             except Exception as e:  # noqa: BLE001
@@ -102,3 +102,17 @@ def _tiktoken(name: str) -> TokenCounter:
         return len(tiktoken.get_encoding(name).encode_ordinary(text))
 
     return from_callable(count, name)
+
+
+def _transformers(name: str) -> TokenCounter:
+    from transformers import AutoTokenizer
+
+    AutoTokenizer.from_pretrained(name, local_files_only=True)
+    loaded: dict = {}
+
+    def count(text: str) -> int:
+        if name not in loaded:
+            loaded[name] = AutoTokenizer.from_pretrained(name, local_files_only=True)
+        return len(loaded[name].encode(text, add_special_tokens=False))
+
+    return from_callable(count, name)

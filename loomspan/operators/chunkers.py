@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.functions import tokens, vectors
+from loomspan.interfaces import Chunker
 from loomspan.operators import folds
 from loomspan.operators.context import ORDER, extras, in_order, no_extras, page_content, position, with_breadcrumb, with_links, with_section
 from loomspan.schema import CHUNK, STANDALONE
@@ -36,7 +37,7 @@ def kept(blocks: DataFrame, discarded: bool) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class ByBlock:
+class ByBlock(Chunker):
     """Every block is a chunk of its own kind."""
 
     include_discarded: bool = False
@@ -48,7 +49,7 @@ class ByBlock:
 
 
 @dataclass(frozen=True)
-class ByPage:
+class ByPage(Chunker):
     """All text of a page is a chunk, under the breadcrumb of its first block."""
 
     include_discarded: bool = False
@@ -60,7 +61,7 @@ class ByPage:
 
 
 @dataclass(frozen=True)
-class BySection:
+class BySection(Chunker):
     """A title and all that follows it up to the next title is a chunk."""
 
     include_discarded: bool = False
@@ -87,7 +88,7 @@ def _grouped(d: DataFrame, key: str, separator: str) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class FixedSize:
+class FixedSize(Chunker):
     """Runs of text between titles and standalone blocks are cut into windows of ``size`` characters
     that overlap by ``overlap``; titles and standalone blocks stay whole."""
 
@@ -120,7 +121,7 @@ class FixedSize:
 
 
 @dataclass(frozen=True)
-class ByToken:
+class ByToken(Chunker):
     max_tokens: int = 512
     overlap_tokens: int = 64
     tokenizer: object = None
@@ -136,7 +137,7 @@ class ByToken:
 
 
 @dataclass(frozen=True)
-class BySentence:
+class BySentence(Chunker):
     chunk_size: int = 512
     chunk_overlap: int = 128
     reserved_tokens: int = 0
@@ -164,7 +165,7 @@ class BySentence:
 
 
 @dataclass(frozen=True)
-class Recursive:
+class Recursive(Chunker):
     chunk_size: int = 512
     min_chars: int = 24
     levels: tuple = folds.RECURSIVE_LEVELS
@@ -182,7 +183,7 @@ class Recursive:
 
 
 @dataclass(frozen=True)
-class Semantic:
+class Semantic(Chunker):
     embedder: object = None
     threshold_type: str = "percentile"
     threshold: float = 25.0
@@ -212,7 +213,7 @@ def halfway(passages: list[str], first: int, end: int) -> int:
 
 
 @dataclass(frozen=True)
-class Guided:
+class Guided(Chunker):
     """A model names where chunks end; ``choose`` gets numbered passages and their range."""
 
     choose: Callable[[list[str], int, int], int] = halfway
@@ -234,7 +235,7 @@ class Guided:
 
 
 @dataclass(frozen=True)
-class Multipass:
+class Multipass(Chunker):
     """Sentence chunks, and coarser levels that pack the chunks of the level before."""
 
     base: BySentence = BySentence(chunk_size=150, chunk_overlap=0)
@@ -255,8 +256,11 @@ STRATEGIES: dict[str, type] = {
 }
 
 
-def chunker(strategy: str, **options: object) -> Callable[[DataFrame], DataFrame]:
-    """The chunker of a strategy; options that it doesn't know are an error."""
+def chunker(strategy: str | Chunker, **options: object) -> Chunker:
+    """The chunker of a strategy; options that it doesn't know are an error. A chunker is taken as it is."""
+    if isinstance(strategy, Chunker):
+        check(not options, "options go to a chunker when it is made")
+        return strategy
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(sorted(STRATEGIES))}")
     return STRATEGIES[strategy](**options)

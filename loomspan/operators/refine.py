@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import mimetypes
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -159,6 +162,12 @@ def add_context(chunks: DataFrame, model: object, summary: bool = True, context:
     return chunks.repartition("source", "granularity").sortWithinPartitions("source", "granularity", "chunk_index").mapInArrow(run, chunks.schema)
 
 
+def data_uri(path: str) -> str:
+    """A file as a data URI; its MIME type by its name."""
+    mime = mimetypes.guess_type(path)[0] or "image/jpeg"
+    return f"data:{mime};base64,{base64.b64encode(Path(path).read_bytes()).decode()}"
+
+
 def needs_vision(kinds: tuple[str, ...] = ("table", "image"), only_empty: bool = True) -> Column:
     """Chunks of these kinds with an image and, unless told otherwise, without content of their own."""
     own = (F.col("page_content") != "") & ~F.col("page_content").eqNullSafe(F.coalesce("extras.inferred_caption", F.lit("")))
@@ -167,22 +176,28 @@ def needs_vision(kinds: tuple[str, ...] = ("table", "image"), only_empty: bool =
 
 
 def add_vision(chunks: DataFrame, model: Callable[[str, str], str], kinds: tuple[str, ...] = ("table", "image"), only_empty: bool = True, refresh: bool = False, workers: int = 5) -> DataFrame:
-    """page_content by ``model(prompt, data_uri)`` where needs_vision and the image is embedded.
+    """page_content by ``model(prompt, data_uri)`` where needs_vision. An image that isn't embedded is read from its
+    path where the chunk is; ``model`` may also be an object with generate_vision().
+
+    Failures, unreadable images among them, leave a chunk as it is. Counts and hashes stay unless ``refresh``."""
 
-    Failures leave a chunk as it is. Counts and hashes stay unless ``refresh``."""
+    see = getattr(model, "generate_vision", model)
 
     @F.pandas_udf("string")
-    def run(kind: pd.Series, image: pd.Series) -> pd.Series:
-        def one(k: str, i: object) -> str | None:
+    def run(kind: pd.Series, image: pd.Series, path: pd.Series) -> pd.Series:
+        def one(k: str, i: object, p: object) -> str | None:
             try:
-                return (model(VISION_PROMPTS.get(k, VISION_PROMPTS["image"]), i) or "").strip() or None if isinstance(i, str) else None
+                if not isinstance(i, str) and isinstance(p, str):
+                    i = data_uri(p)
+                return (see(VISION_PROMPTS.get(k, VISION_PROMPTS["image"]), i) or "").strip() or None if isinstance(i, str) else None
             except Exception:
                 return None
 
         with ThreadPoolExecutor(workers) as pool:
-            return pd.Series(list(pool.map(one, kind, image)), dtype=object)
+            return pd.Series(list(pool.map(one, kind, image, path)), dtype=object)
 
-    answer = run("kind", F.when(needs_vision(kinds, only_empty), F.col("extras.image_b64")))
+    wanted = needs_vision(kinds, only_empty)
+    answer = run("kind", F.when(wanted, F.col("extras.image_b64")), F.when(wanted, F.col("extras.img_path")))
     d = chunks.withColumn("_answer", answer).withColumn("page_content", F.coalesce("_answer", "page_content"))
     if refresh:
         d = d.withColumns({"token_count": tokens.BUILT_IN["quarter"].column(F.col("page_content")), "content_hash": content_hash()})

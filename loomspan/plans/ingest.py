@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.interfaces import Chunker
 from loomspan.operators import blocks as B
 from loomspan.operators.chunkers import chunker
 from loomspan.operators.refine import refine
@@ -15,12 +16,12 @@ from loomspan.sinks.chunks import formatted
 from loomspan.sources import files
 
 
-def run(blocks: DataFrame, strategy: str = "by_token", output: str = "chunks", tables: bool = True, images: bool = True, equations: bool = True, tokenizer: object = None, image_mode: str = "path", base_dir: str | None = None, captions: bool = True, image_files: DataFrame | None = None, where: object = None, **options: object) -> DataFrame:
+def run(blocks: DataFrame, strategy: str | Chunker = "by_token", output: str = "chunks", tables: bool = True, images: bool = True, equations: bool = True, tokenizer: object = None, image_mode: str = "path", base_dir: str | None = None, captions: bool = True, image_files: DataFrame | None = None, where: object = None, **options: object) -> DataFrame:
     """Blocks -> formatted chunks. ``where`` restricts blocks, by source for example, before the
     folds, through which no filter passes; ``options`` are the chunker's."""
     if where is not None:
         blocks = blocks.filter(where)
-    if tokenizer is not None and strategy not in ("by_block", "by_page", "by_section", "fixed_size", "by_semantic", "semantic"):
+    if tokenizer is not None and isinstance(strategy, str) and strategy not in ("by_block", "by_page", "by_section", "fixed_size", "by_semantic", "semantic"):
         options["tokenizer"] = tokenizer
     chunks = chunker(strategy, **options)(B.keep_kinds(blocks, tables, images, equations))
     return formatted(refine(chunks, tokenizer if tokenizer is not None else "quarter", image_mode=image_mode, base_dir=base_dir, captions=captions, images=image_files), output)
