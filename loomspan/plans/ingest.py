@@ -43,7 +43,10 @@ def parsed(spark: SparkSession, docs: DataFrame, parse: Callable[[DataFrame], Da
 
 
 def ingest(spark: SparkSession, path: str, strategy: str = "by_token", parse: Callable[[DataFrame], DataFrame] | None = None, **options: object) -> DataFrame:
-    """A file, a folder of files, or a parser's output folder -> chunks."""
+    """A file, a folder of files, or a parser's output folder -> chunks. A URI that ends in '/' is a folder."""
+    if files.is_uri(path):
+        docs = files.fetch(spark, folder=path) if path.endswith("/") else files.fetch(spark, path=path)
+        return run(parsed(spark, docs, parse), strategy, **options)
     p = Path(path)
     if not p.exists():
         raise FileNotFoundError(path)

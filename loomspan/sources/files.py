@@ -40,8 +40,20 @@ def walk(folder: str, extensions: list[str] | None, recursive: bool) -> Iterator
             break
 
 
+def is_uri(path: str) -> bool:
+    return "://" in path
+
+
+def below_uri(uri: str, recursive: bool) -> list:
+    """Files and folders below a URI of a file system that pyarrow knows (file, s3, gs, hdfs)."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.get_file_info(fs.FileSelector(path, recursive=recursive))
+
+
 class FolderSource(DataSource):
-    """``format("loomspan_files")``: one row a file (source, path, mime_type, size).
+    """``format("loomspan_files")``: one row a file (source, path, mime_type, size), of a shared folder or a URI.
 
     Options: path, recursive (true), extensions (comma-separated). Each folder below the first
     is a partition of its own."""
@@ -65,15 +77,26 @@ class Folder(InputPartition):
 
 class FolderReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = os.path.realpath(options["path"])
+        self.path = options["path"] if is_uri(options["path"]) else os.path.realpath(options["path"])
         self.recursive = options.get("recursive", "true").lower() == "true"
         self.extensions = [e.strip() for e in options.get("extensions", "").split(",") if e.strip()] or None
 
     def partitions(self) -> list[Folder]:
+        if is_uri(self.path):
+            found = sorted(x.path for x in below_uri(self.path, False) if not x.is_file) if self.recursive else []
+            scheme = self.path.split("://", 1)[0]
+            return [Folder(self.path, False), *(Folder(f"{scheme}://{d}", True) for d in found)]
         below = sorted(d.path for d in os.scandir(self.path) if d.is_dir(follow_symlinks=False)) if self.recursive else []
         return [Folder(self.path, False), *(Folder(d, True) for d in below)]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
+        if is_uri(partition.value):
+            scheme, want = partition.value.split("://", 1)[0], {e.lower() if e.startswith(".") else "." + e.lower() for e in self.extensions or []}
+            for x in sorted(below_uri(partition.value, partition.recursive), key=lambda x: x.path):
+                if x.is_file and (not want or os.path.splitext(x.path)[1].lower() in want):
+                    name = f"{scheme}://{x.path}"
+                    yield (name, name, mimetypes.guess_type(x.path)[0] or UNKNOWN_MIME, x.size)
+            return
         for f in walk(partition.value, self.extensions, partition.recursive):
             yield (f, f, mimetypes.guess_type(f)[0] or UNKNOWN_MIME, os.path.getsize(f))
 
@@ -83,7 +106,9 @@ def fetch(spark: SparkSession, path: str | None = None, folder: str | None = Non
     if (path is None) == (folder is None):
         raise ValueError("give either a path or a folder")
     spark.dataSource.register(FolderSource)
-    if path is not None:
+    if path is not None and is_uri(path):
+        d = spark.createDataFrame([(path, path, mimetypes.guess_type(path)[0] or UNKNOWN_MIME)], "source string, path string, mime_type string")
+    elif path is not None:
         p = Path(path)
         if not p.exists():
             raise FileNotFoundError(path)
@@ -92,7 +117,7 @@ def fetch(spark: SparkSession, path: str | None = None, folder: str | None = Non
         name = str(p.resolve())
         d = spark.createDataFrame([(name, name, mimetypes.guess_type(name)[0] or UNKNOWN_MIME)], "source string, path string, mime_type string")
     else:
-        if not Path(folder).is_dir():
+        if not is_uri(folder) and not Path(folder).is_dir():
             raise FileNotFoundError(folder)
         d = spark.read.format("loomspan_files").option("path", folder).option("recursive", str(recursive).lower()).option("extensions", ",".join(extensions or [])).load()
     meta = F.create_map(*[F.lit(v) for kv in (metadata or {}).items() for v in kv]) if metadata else F.create_map().cast("map<string,string>")

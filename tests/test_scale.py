@@ -2,14 +2,17 @@
 
 import random
 import time
+import types
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan import lineage
 from loomspan.functions import strings
 from loomspan.operators import context, folds, refine, similarity
 from loomspan.operators.chunkers import BySection
+from loomspan.plans import ingest
 from loomspan.schema import BLOCK
 from loomspan.sources import files
 
@@ -59,6 +62,28 @@ def test_marks_inside_texts_are_no_cuts(spark):
     assert got == strings.split_sentences_py(text, folds.DELIMITERS, "prev", 3) == [f"A first {strings.MARK}sentence here.", f"{strings.CUT}Another one{strings.KEPT} there!", f"The end{strings.MARK}"]
 
 
+def test_folders_by_uri(spark, tmp_path):
+    """As paths of file systems other than the local one are read."""
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    for at, text in (("a.txt", "one"), ("deep/b.txt", "two"), ("deep/er/c.TXT", "three"), ("deep/d.bin", "x")):
+        (tmp_path / at).write_text(text)
+    uri = f"file://{tmp_path}"
+    found = files.fetch(spark, folder=uri, extensions=["txt"])
+    assert sorted(r.path for r in found.collect()) == [f"{uri}/a.txt", f"{uri}/deep/b.txt", f"{uri}/deep/er/c.TXT"]
+    assert sorted(r.value for r in files.read_rows(found).collect()) == ["one", "three", "two"]
+    assert files.fetch(spark, folder=uri, recursive=False).count() == 1
+    assert ingest.ingest(spark, f"{uri}/deep/er/", "by_block").first().page_content == "three"
+    assert ingest.ingest(spark, f"{uri}/a.txt", "by_block").first().source == f"{uri}/a.txt"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = types.SimpleNamespace(get=lambda k, d=None: d)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="spark://host:7077")))
+    conf = types.SimpleNamespace(get=lambda k, d=None: "hdfs://x/y/")
+    assert lineage.shared_folder(types.SimpleNamespace(conf=conf)) == "hdfs://x/y"
+
+
 def test_a_circle_in_a_listing(spark):
     d = spark.createDataFrame([(1, None, "a", True), (2, 1, "b", True), (2, 2, "b", True)], "id int, parent_id int, name string, is_folder boolean")
     with pytest.raises(ValueError, match="deeper"):
