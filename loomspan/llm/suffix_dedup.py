@@ -320,7 +320,7 @@ def _answers(key: np.ndarray, size: np.ndarray, ids: np.ndarray, text: np.ndarra
         return np.zeros(0, np.uint64)
     size = size.astype(np.int64)
     off = np.r_[0, np.cumsum(size + LENGTH - 1)]
-    # equal contexts first: the inside of a repeat
+    # equal contexts are one: what copies of a passage have inside
     h = range_hashes(text, off, off[:-1], np.diff(off))
     order = np.lexsort((ids, h, key))
     k, x = key[order], h[order]
@@ -328,18 +328,11 @@ def _answers(key: np.ndarray, size: np.ndarray, ids: np.ndarray, text: np.ndarra
     which = np.empty(len(key), np.int64)
     which[order] = np.cumsum(new) - 1
     first = order[new]
-    low, n, kinds = ids[first], size[first], key[first]
-    # then strings of different contexts of one anchor
-    edge = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
-    several = np.repeat(np.diff(np.r_[edge, len(kinds)]) > 1, np.diff(np.r_[edge, len(kinds)]))
-    some = np.flatnonzero(several)
+    low, n = ids[first], size[first]
+    # then the strings of all different contexts, in suffix order
+    at, least = least_ids(gathered(text, off[first], n + LENGTH - 1), np.r_[0, np.cumsum(n + LENGTH - 1)], low)
     to = np.r_[0, np.cumsum(n)]
-    least = np.repeat(low, n)
-    if len(some):
-        part_off = np.r_[0, np.cumsum(n[some] + LENGTH - 1)]
-        at, best = least_ids(gathered(text, off[first[some]], n[some] + LENGTH - 1), part_off, low[some])
-        c = np.searchsorted(part_off, at, side="right") - 1
-        least[to[some[c]] + at - part_off[c]] = best
+    assert len(at) == to[-1], "a context's strings and answers differ"
     owner = np.repeat(np.arange(len(key)), n[which])
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(n[which]) - n[which], n[which])
     hit = least[to[which[owner]] + inner] < ids[owner]

@@ -290,6 +290,14 @@ def test_lm_is_normalised(v):
         assert (10 ** m.log10(every, np.repeat(b[None], len(every), axis=0))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_vocabulary_orders_ties_by_hash():
+    """Words of equal counts have the same numbers in whatever order they come."""
+    h, c = np.arange(1, 40, dtype=np.uint64) * np.uint64(12800), np.repeat([7, 3, 3], 13)
+    order = np.random.default_rng(0).permutation(39)
+    one, two = (lm_score.LogBilinear(h[i], c[i], np.zeros(lm_score.TAILS), 1) for i in (np.arange(39), order))
+    assert (one.ids(h) == two.ids(h)).all() and sorted(one.ids(h).tolist()) == list(range(39)) and (one.q2 == two.q2).all()
+
+
 def test_lm_rows_carry_all_that_training_changed():
     m = lm_score.LogBilinear(np.arange(20, dtype=np.uint64) * np.uint64(1000), np.arange(20) + 3, np.ones(lm_score.TAILS), 2)
     t, rng = m.trainer(3), np.random.default_rng(0)
