@@ -29,12 +29,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
-def savitzky_golay(window: int, order: int) -> np.ndarray:
-    """Row i: the weights that give the value at place i of a window from the polynomial of the
+def savitzky_golay(window: int, order: int, derivative: int = 0) -> np.ndarray:
+    """Row i: the weights that give the value, or a derivative, at place i of a window from the polynomial of the
     given order that fits the window best. The middle row smooths, the others serve the edges."""
     x = np.arange(window) - window // 2
     powers = np.vander(x, order + 1, increasing=True).astype(float)
-    return powers @ np.linalg.pinv(powers)
+    at = np.zeros_like(powers)
+    for j in range(derivative, order + 1):
+        at[:, j] = np.prod(np.arange(j - derivative + 1, j + 1), initial=1.0) * powers[:, j - derivative]
+    return at @ np.linalg.pinv(powers)
 
 
 def hashed(text: str, size: int = 64) -> list[float]:

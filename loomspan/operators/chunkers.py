@@ -192,6 +192,7 @@ class Semantic(Chunker):
     smooth_order: int = 2
     min_chars: int = 12
     include_discarded: bool = False
+    minima: float | None = None
 
     def __post_init__(self):
         check(self.threshold_type in ("percentile", "threshold"), "threshold_type must be 'percentile' or 'threshold'")
@@ -201,7 +202,7 @@ class Semantic(Chunker):
 
     def __call__(self, blocks: DataFrame) -> DataFrame:
         embed = vectors.resolve_embedder(self.embedder)
-        rules = folds.SemanticRules(self.threshold_type, self.threshold, self.skip_window, self.smooth_window, self.smooth_order, self.min_chars, discarded=self.include_discarded)
+        rules = folds.SemanticRules(self.threshold_type, self.threshold, self.skip_window, self.smooth_window, self.smooth_order, self.minima, self.min_chars, discarded=self.include_discarded)
         return folds.fold(kept(blocks, self.include_discarded), lambda b: folds.semantic_chunks(b, embed, rules))
 
 

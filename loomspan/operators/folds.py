@@ -418,14 +418,14 @@ def guided_chunks(blocks: list[Block], count: Callable[[str], int], choose: Call
     return over_runs(blocks, discarded, split)
 
 
-def smoothed(sims: np.ndarray, window: int, order: int) -> np.ndarray:
+def smoothed(sims: np.ndarray, window: int, order: int, derivative: int = 0) -> np.ndarray:
     """Savitzky-Golay; at the edges the polynomial of the first and last window is evaluated."""
     n = len(sims)
-    if window <= 1 or n < 2:
-        return sims.copy()
     w = min(window, n)
     w -= w % 2 == 0
-    rows = savitzky_golay(w, min(order, w - 1))
+    if w <= 1:
+        return np.zeros(n) if derivative else sims.copy()
+    rows = savitzky_golay(w, min(order, w - 1), derivative)
     h = w // 2
     out = np.convolve(sims, rows[h][::-1], mode="same")
     for i in range(h):
@@ -440,6 +440,8 @@ class SemanticRules:
     skip_window: int = 0
     window: int = 3
     order: int = 2
+    #: Cut at local minima only: where the fitted curve is level within this tolerance, and bends upwards.
+    minima: float | None = None
     min_chars: int = 12
     delimiters: tuple[str, ...] = tuple(DELIMITERS)
     include_delim: str | None = "prev"
@@ -461,8 +463,12 @@ def semantic_groups(vecs: np.ndarray, rules: SemanticRules) -> list[list[int]]:
     sims = np.array([max(float(unit[i] @ unit[j]) for j in range(i + 1, min(i + k, n - 1) + 1)) for i in range(n - 1)])
     level = np.round(smoothed(sims, rules.window, rules.order), 9)  # so that sums in another order give the same cuts
     bound = np.percentile(level, rules.threshold) if rules.threshold_type == "percentile" else rules.threshold
+    cut = level < bound
+    if rules.minima is not None:
+        slope, curve = (np.round(smoothed(sims, rules.window, rules.order, k), 9) for k in (1, 2))
+        cut = (np.abs(slope) < rules.minima) & (curve > 0) & (level <= bound)
     groups, begin = [], 0
-    for i in np.flatnonzero(level < bound):
+    for i in np.flatnonzero(cut):
         groups.append(list(range(begin, i + 1)))
         begin = i + 1
     groups.append(list(range(begin, n)))

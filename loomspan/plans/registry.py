@@ -404,6 +404,22 @@ def polynomial_smooth(spark, sf_dir):
     return d.select("run_id", "vec_id", F.round("smooth", 6).alias("smooth"))
 
 
+def minima_sql(window: int, degree: int, tolerance: float) -> str:
+    h = window // 2
+    w = ["[" + ", ".join("[" + ", ".join(repr(float(x)) for x in r) + "]" for r in vectors.savitzky_golay(window, degree, k)) + "]::DOUBLE[][]" for k in range(3)]
+    sums = ", ".join(f"round(sum(c.sim * ({w[k]})[a.i - a.b + 1][c.i - a.b + 1]), 9) AS d{k}" for k in range(3))
+    return f"""{SIMS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM sims),
+begun AS (SELECT *, least(greatest(i - {h}, 0), n - {window}) AS b FROM numbered),
+fitted AS (SELECT a.run_id, a.vec_id, {sums} FROM begun a JOIN begun c ON a.run_id = c.run_id AND c.i BETWEEN a.b AND a.b + {window - 1} GROUP BY a.run_id, a.vec_id),
+bound AS (SELECT run_id, quantile_cont(d0, 0.25) AS q FROM fitted GROUP BY run_id)
+SELECT run_id, vec_id, abs(d1) < {tolerance} AND d2 > 0 AND d0 <= q + 1e-9 AS is_break FROM fitted JOIN bound USING (run_id)"""
+
+
+@query(minima_sql(5, 3, 0.1))
+def local_minima(spark, sf_dir):
+    return similarity.local_minima(similarity.neighbor_similarity(fixtures.vectors(spark, sf_dir)), 5, 3).select("run_id", "vec_id", "is_break")
+
+
 BREAKS_SQL = f"{SIMS_SQL}, bounds AS (SELECT run_id, quantile_cont(sim, 0.25) AS bound FROM sims GROUP BY run_id), marked AS (SELECT s.run_id, s.vec_id, s.sim < b.bound AS is_break FROM sims s JOIN bounds b USING (run_id))"
 
 

@@ -54,6 +54,21 @@ def test_smoothing_of_short_runs(spark, window):
         got.setdefault(r.run_id, []).append(r.smooth)
     for n, v in runs.items():
         assert got[n] == pytest.approx(folds.smoothed(v, window, 2).tolist()), n
+    for k in (1, 2):
+        found = {(r.run_id, r.vec_id): r.d for r in similarity.polynomial_smooth(d, window, 2, derivative=k, out="d").collect()}
+        for n, v in runs.items():
+            assert [found[n, i] for i in range(n)] == pytest.approx(folds.smoothed(v, window, 2, k).tolist(), abs=1e-9), (n, k)
+
+
+def test_local_minima(spark):
+    """A parabola has one; flat stretches and maxima have none; the chunker cuts where the windows do."""
+    x = np.arange(20)
+    for v, want in ((0.3 + (x - 9) ** 2 / 400, [9]), (0.9 - (x - 9) ** 2 / 400, []), (np.full(20, 0.5), [])):
+        d = spark.createDataFrame([(1, int(i), float(s)) for i, s in enumerate(v)], "run_id int, vec_id int, sim double")
+        assert [r.vec_id for r in similarity.local_minima(d, 5, 2, tolerance=0.004).filter("is_break").collect()] == want
+    vecs = np.repeat(np.eye(4), 6, axis=0) + 0.02 * np.random.default_rng(0).random((24, 4))
+    groups = folds.semantic_groups(vecs, folds.SemanticRules(threshold=10, window=3, order=2, minima=0.6))
+    assert [g[0] for g in groups] == [0, 6, 12, 18]
 
 
 def test_marks_inside_texts_are_no_cuts(spark):
