@@ -3,6 +3,7 @@
 import asyncio
 import json
 import os
+import pickle
 import types
 
 import pytest
@@ -16,7 +17,7 @@ from loomspan.operators.chunkers import ByBlock, ByToken
 from loomspan.plans import ingest
 from loomspan.schema import BLOCK
 from loomspan.sinks import drawing
-from loomspan.sources import parsers
+from loomspan.sources import parsers, web
 
 
 def blocks(spark, *texts):
@@ -157,3 +158,50 @@ def test_drawn_pages(spark, tmp_path):
     assert data[start : start + 4] == b"xref"
     first = int(data[start:].split(b"\n")[3].split()[0])
     assert data[first:].startswith(b"1 0 obj")
+
+
+def test_web_fetcher(spark, tmp_path):
+    def get(url):
+        if url.endswith("/broken"):
+            raise OSError
+        return url.encode()
+
+    f = web.WebFetcher(str(tmp_path / "pages"), "html", get)
+    got = sorted((r.source, os.path.basename(r.path), r.mime_type) for r in f.fetch(spark, "http://h.example/a/b", urls=["https://g.example/x?q=1", "http://h.example/broken"]).collect())
+    assert [x[0] for x in got] == ["http://h.example/a/b", "https://g.example/x?q=1"] and got[0][1:] == ("h.example_a_b.html", "text/html")
+    with pytest.raises(ValueError, match="at least one URL"):
+        f(spark, "/no/url")
+    with pytest.raises(ValueError, match="mode"):
+        web.WebFetcher(str(tmp_path), "png")
+    with pytest.raises(ImportError, match="playwright"):
+        web.Browser()("http://h.example")
+
+
+def test_browser_waits_prints_and_closes():
+    done = []
+
+    class Page:
+        def goto(self, url, wait_until, timeout):
+            done.append((url, timeout))
+
+        def wait_for_load_state(self, state, timeout):
+            raise TimeoutError(state)
+
+        def emulate_media(self, media):
+            done.append(media)
+
+        def pdf(self, format, print_background):
+            return b"%PDF"
+
+        def content(self):
+            return "<p>é"
+
+        def close(self):
+            done.append("closed")
+
+    b = web.Browser("pdf")
+    b._context = types.SimpleNamespace(new_page=Page)
+    assert b("http://x") == b"%PDF" and done == [("http://x", 30_000), "screen", "closed"]
+    b.mode = "html"
+    assert b("http://x") == "<p>é".encode() and done[-1] == "closed"
+    assert pickle.loads(pickle.dumps(web.Browser("html")))._context is None
