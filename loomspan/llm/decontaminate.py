@@ -149,12 +149,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def whole_lines(rows: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of leaks() for items that count as whole lines: of each the first line that is it."""
-    lines = rows.select("r1", "r2", "doc_id", F.transform(F.split("text", "\n"), tokens).alias("_lines")).filter(F.col("_lines").isNotNull())
-    short = lines.select("r1", "r2", "doc_id", "_lines", F.posexplode("_lines").alias("_place", "toks")).filter(F.size("toks").between(1, ITEM_LEAST - 1))
-    before = F.aggregate(F.slice("_lines", 1, F.col("_place")), F.lit(0), lambda n, x: n + F.size(x)).cast("long")
-    met = joined_if_small(short, items, ["toks"], "inner", SMALL).select("r1", "r2", "doc_id", "item_id", F.size("toks").cast("long").alias("matches"), before.alias("first_token"))
-    met = met.groupBy("r1", "r2", "doc_id", "item_id", "matches").agg(F.min("first_token").alias("first_token"))
-    return met.select("doc_id", "item_id", "matches", "first_token", (F.col("first_token") + F.col("matches") - 1).alias("last_token"), "r1", "r2")
+    lines = rows.select("r1", "r2", "doc_id", F.posexplode(F.split("text", "\n")).alias("_place", "_line")).withColumn("toks", tokens(F.col("_line")))
+    short = lines.filter(F.size("toks").between(1, ITEM_LEAST - 1)).select("r1", "r2", "doc_id", "_place", "toks")
+    met = joined_if_small(short, items, ["toks"], "inner", SMALL).select("r1", "r2", "item_id", F.size("toks").cast("long").alias("matches"), "_place")
+    met = written(met.groupBy("r1", "r2", "item_id", "matches").agg(F.min("_place").alias("_place")), "dc-lines")
+    texts = joined_if_small(rows, met.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi", SMALL).dropDuplicates(["r1", "r2"])
+    before = F.aggregate(F.transform(F.slice(F.split("text", "\n"), 1, F.col("_place")), tokens), F.lit(0), lambda n, x: n + F.size(x)).cast("long")
+    found = met.join(texts, ["r1", "r2"]).select("doc_id", "item_id", "matches", before.alias("first_token"), "r1", "r2")
+    return found.select("doc_id", "item_id", "matches", "first_token", (F.col("first_token") + F.col("matches") - 1).alias("last_token"), "r1", "r2")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
