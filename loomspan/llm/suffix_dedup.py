@@ -26,7 +26,7 @@ HOT_CELLS = 256
 #: A difference cover modulo V: every difference modulo V is one of two members of COVER.
 V, COVER = 16, (0, 1, 2, 5, 8)
 #: Suffixes sorted at a time, and bytes of contexts compared at a time.
-BLOCK, PART = 1 << 18, 1 << 21
+BLOCK, PART = 1 << 18, 1 << 19
 #: Texts with copies that are broadcast at most (24 bytes each).
 SMALL = 500_000
 #: Bytes of text that make a cell.
