@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """What runs inside sends ``rows`` rows at a time to Python: long texts make large batches, on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(was)) if int(was) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def row_key(*columns: Column | str) -> list[Column]:
     """r1, r2: 128 bits that name a row's values of the columns."""
     return [F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit(7), *reversed(columns)).alias("r2")]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textscan as ts
-from .common import drop, joined_if_small, packed, row_key, table, written
+from .cells import give_back
+from .common import drop, joined_if_small, packed, row_key, small_batches, table, written
 from .graph import components
 
 K = 5
@@ -84,6 +85,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int64))
         sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * COORDS), flat)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n, pa.int64()), *(pa.array([x[k] for x in node], pa.int64()) for k in (0, 1)), sigs], ["doc_id", "r1", "r2", "n", "node", "node2", "sig"])
+        give_back()
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +162,13 @@ def _linked(t: pa.Table) -> pa.Table:
     for name, s in zip(names, shingle_sets(t["text"])):
         assert node_of(s) == name[1:3], "a text isn't the one that its class was made from"
         found.setdefault(name[0], {})[name[1:3]] = (s, name[3])
-    cross, out = t["i"][0].as_py() != t["j"][0].as_py(), []
+    cross, out, members = t["i"][0].as_py() != t["j"][0].as_py(), [], None
     for members in found.values():
         keys = list(members)
         links, group = links_of([members[k][0] for k in keys], np.array([members[k][1] for k in keys]) if cross else None)
         out += [(*keys[k], *keys[group[k]], int(links[k])) for k in np.flatnonzero(links)]
+    del found, members
+    give_back()
     return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], names=["node", "node2", "root", "root2", "n_links"])
 
 
@@ -192,7 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     on = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     on = on.select("doc_id", "text", *row_key("doc_id", "text"))
-    rows = written(on.mapInArrow(_signed, "doc_id long, r1 long, r2 long, n long, node long, node2 long, sig array<long>"), "nd-rows")
+    with small_batches(docs.sparkSession):
+        rows = written(on.mapInArrow(_signed, "doc_id long, r1 long, r2 long, n long, node long, node2 long, sig array<long>"), "nd-rows")
     key = ["node", "node2"]
     classes = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.min(F.struct("r1", "r2")).alias("row"), F.first("sig").alias("sig"))
     classes = written(classes, "nd-classes")
@@ -216,7 +221,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     place = [F.when(one, F.pmod(F.xxhash64("comp"), F.lit(n_bins))).otherwise(F.col("comp")).alias("bin"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
     tiles = texts.select("text", *key, "comp", "block", one.alias("one"), *place)
     found = tiles.groupBy("one", "bin", "i", "j").applyInArrow(_linked, "node long, node2 long, root long, root2 long, n_links long")
-    found = written(found, "nd-found")
+    with small_batches(docs.sparkSession):
+        found = written(found, "nd-found")
     degree = found.groupBy(*key).agg(F.sum("n_links").alias("n_links"))
     star = found.select(*key, F.col("root").alias("comp"), F.col("root2").alias("comp2"))
     if wanted.filter("blocks > 1").limit(1).count():  # the stars of pairs of blocks are connected; a component's other stars are complete
