@@ -21,8 +21,9 @@ ANCHOR = 24
 PLACES = LENGTH - ANCHOR + 1
 #: Strings in a row with one anchor stay together, this many at most.
 RUN_MOST = 64
-#: An anchor in more cells than this is hot: its strings are sent one by one, by their own hashes.
-HOT_CELLS = 256
+#: An anchor of more runs than this, those of all cells together, is hot: its strings are sent one by one, by
+#: their own hashes. So what one anchor brings to a task is bounded, however the runs are spread over cells.
+HOT_RUNS = 8192
 #: A difference cover modulo V: every difference modulo V is one of two members of COVER.
 V, COVER = 16, (0, 1, 2, 5, 8)
 #: Suffixes sorted at a time, and bytes of contexts compared at a time.
@@ -132,31 +133,40 @@ FACT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5
 FACT_SCHEMA = "cell long, part long, kind long, n long, keys binary, flags binary, sizes binary, ids binary, bytes binary"
 
 
+def by_value(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of ``x``, where in it each different value begins, and how often it is there. (np.unique alone hashes: far slower.)"""
+    order = np.argsort(x)
+    s = x[order]
+    edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    return order, edge, np.diff(np.r_[edge, len(s)])
+
+
 def _anchored(n_parts: int):
-    """A cell's distinct anchors, with those flagged that two of its texts have."""
+    """A cell's distinct anchors, with those flagged that two of its texts have, and their numbers of runs (as powers of 2, rounded up)."""
 
     def run(t: pa.Table) -> pa.Table:
         key, _, _, doc = runs_of(*ts.buffers(t["text"]))
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        u, many = key[edge], doc[edge] != doc[np.r_[edge[1:], len(key)] - 1] if len(key) else np.zeros(0, bool)
+        order, edge, size = by_value(key)
+        u, doc = key[order[edge]], doc[order]
+        many = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge) if len(doc) else np.zeros(0, bool)
+        size = np.ceil(np.log2(size)).astype(np.uint8)
         cell = t["cell"][0].as_py()
-        return _columns([(cell, p, 0, b - a, packed(u[a:b]), np.packbits(many[a:b]).tobytes(), None, None, None) for p, a, b in ranges(u, n_parts)], FACTS, FACT_KINDS)
+        return _columns([(cell, p, 0, b - a, packed(u[a:b]), np.packbits(many[a:b]).tobytes(), size[a:b].tobytes(), None, None) for p, a, b in ranges(u, n_parts)], FACTS, FACT_KINDS)
 
     return run
 
 
-def _shared(hot_cells: int):
+def _shared(hot_runs: int):
     """One range of anchors: for each cell's anchors whether another text has them, and whether they are hot."""
 
     def run(t: pa.Table) -> pa.Table:
         ns, cells = t["n"].to_pylist(), t["cell"].to_pylist()
         keys = [unpacked(b.as_py(), n) for b, n in zip(t["keys"], ns)]
         flags = [np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n) for b, n in zip(t["flags"], ns)]
+        runs = np.exp2(ts.buffers(t["sizes"])[0])
         u, inv, n_cells = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         many = (n_cells > 1) | (np.bincount(inv, np.concatenate(flags), len(u)) > 0)
-        hot = n_cells > hot_cells
+        hot = np.bincount(inv, runs, len(u)) > hot_runs
         out, at, part = [], 0, t["part"][0].as_py()
         for cell, k in zip(cells, keys):
             i = inv[at : at + len(k)]
@@ -177,15 +187,16 @@ def _contexts(t: pa.Table, facts: pa.Table):
     ids = t["doc_id"].to_numpy(zero_copy_only=False) if not t["doc_id"].null_count else np.array([NO_ID if x is None else x for x in t["doc_id"].to_pylist()])
     ids = ids.astype(np.int64)
     key, start, n, doc = runs_of(data, off)
-    u = np.unique(key)
+    order, _, size = by_value(key)
     marks = sorted((x for x in facts.select(["part", "kind", "n", "flags", "sizes"]).to_pylist() if x["kind"] == 1), key=lambda x: x["part"])
     bits = lambda b, k: np.unpackbits(np.frombuffer(b, np.uint8), count=k).astype(bool) if b is not None else np.zeros(k, bool)
     shared = np.concatenate([bits(x["flags"], x["n"]) for x in marks]) if marks else np.zeros(0, bool)
     hot = np.concatenate([bits(x["sizes"], x["n"]) for x in marks]) if marks else np.zeros(0, bool)
-    assert len(shared) == len(u), "a cell's anchors and marks differ"
-    at = np.searchsorted(u, key)
-    keep = shared[at] if len(u) else np.zeros(0, bool)
-    key, start, n, doc, is_hot = key[keep], start[keep], n[keep], doc[keep], hot[at[keep]] if len(u) else np.zeros(0, bool)
+    assert len(shared) == len(size), "a cell's anchors and marks differ"
+    keep = np.sort(order[np.repeat(shared, size)])
+    is_hot = np.zeros(len(key), bool)
+    is_hot[order[np.repeat(hot, size)]] = True
+    key, start, n, doc, is_hot = key[keep], start[keep], n[keep], doc[keep], is_hot[keep]
     if is_hot.any():
         parts = np.where(is_hot, n, 1)
         inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -291,27 +302,23 @@ def _resolved(t: pa.Table) -> pa.Table:
     """One range of anchors: for every cell's contexts a bit for each string that a smaller id has.
 
     The range is worked through in parts of its keys, so that the arrays of one part, not
-    those of the whole range, are in memory at a time."""
+    those of the whole range, are in memory at a time. What cells sent is put together once, so the
+    time doesn't grow with cells times parts."""
     ns, cells, part = t["n"].to_pylist(), t["cell"].to_pylist(), t["part"][0].as_py()
-    keys = [unpacked(b.as_py(), n) for b, n in zip(t["keys"], ns)]
-    sizes = [np.frombuffer(b.as_py(), np.uint8) for b in t["sizes"]]
-    ids = [np.frombuffer(b.as_py(), np.int64) for b in t["ids"]]
-    texts = [np.frombuffer(b.as_py(), np.uint8) for b in t["bytes"]]
-    offs = [np.r_[0, np.cumsum(s.astype(np.int64) + LENGTH - 1)] for s in sizes]
-    every = np.sort(np.concatenate(keys))
-    n_parts = max(1, -(-sum(len(x) for x in texts) // PART))
-    edges = np.unique(every[[i * len(every) // n_parts for i in range(1, n_parts)]]) if n_parts > 1 else every[:0]
-    del every
-    cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k in keys]
-    masks: list[list[np.ndarray]] = [[] for _ in keys]
-    for i in range(len(edges) + 1):
-        mine = [(k, c[i], c[i + 1]) for k, c in enumerate(cuts)]
-        found = _answers(*(np.concatenate([x[k][a:z] for k, a, z in mine]) for x in (keys, sizes, ids)), np.concatenate([texts[k][offs[k][a] : offs[k][z]] for k, a, z in mine]))
-        at = 0
-        for k, a, z in mine:
-            masks[k].append(found[at : at + z - a])
-            at += z - a
-    return _columns([(cell, part, 3, n, None, np.concatenate(m).tobytes(), None, None, None) for cell, n, m in zip(cells, ns, masks)], FACTS, FACT_KINDS)
+    keys = np.concatenate([unpacked(b.as_py(), n) for b, n in zip(t["keys"], ns)])
+    sizes, ids, text = ts.buffers(t["sizes"])[0], np.frombuffer(ts.buffers(t["ids"])[0], np.int64), ts.buffers(t["bytes"])[0]
+    long = sizes.astype(np.int64) + LENGTH - 1
+    start = np.cumsum(long) - long
+    order, edge, size = by_value(keys)
+    stop, masks, lo = np.cumsum(np.add.reduceat(long[order], edge)), np.empty(len(keys), np.uint64), 0
+    edge = np.r_[edge, len(keys)]
+    while lo < len(size):  # whole keys of PART bytes, or one that is longer
+        hi = max(lo + 1, int(np.searchsorted(stop, (stop[lo - 1] if lo else 0) + PART, side="right")))
+        at = np.sort(order[edge[lo] : edge[hi]])
+        masks[at] = _answers(keys[at], sizes[at], ids[at], gathered(text, start[at], long[at]))
+        lo = hi
+    to = np.cumsum(ns)
+    return _columns([(cell, part, 3, n, None, masks[z - n : z].tobytes(), None, None, None) for cell, n, z in zip(cells, ns, to)], FACTS, FACT_KINDS)
 
 
 def _answers(key: np.ndarray, size: np.ndarray, ids: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -373,7 +380,7 @@ def _removed(t: pa.Table, facts: pa.Table) -> pa.Table:
     return _columns(rows, OUT, OUT_KINDS)
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_cells: int = HOT_CELLS) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_cells: int = HOT_RUNS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining
     bytes if ``keep_text``, else null).
 
@@ -391,8 +398,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_cells: int = HO
        (``least_ids``) and answer for each string whether a smaller id has it.
     3. Cells mark the bytes.
 
-    The three uses of the documents by cell share one shuffle. Anchors in very many cells, whose
-    surroundings could fill one task, are sent string by string, by the strings' own hashes.
+    The three uses of the documents by cell share one shuffle. Anchors of more than ``hot_cells`` runs, counted over
+    all cells, whose surroundings could fill one task, are sent string by string, by the strings' own hashes.
 
     A null text is empty. A null id counts as larger than every id: its text removes nothing and
     is removed where an id has it. Texts of rows with equal ids don't remove each other.

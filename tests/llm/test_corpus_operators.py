@@ -157,6 +157,21 @@ def test_repeats(docs, monkeypatch, n_cells, hot):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_hot_anchors_are_those_of_many_runs():
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghij") for _ in range(60))
+    anchored, shared = suffix_dedup._anchored(1), suffix_dedup._shared(suffix_dedup.HOT_RUNS)
+
+    def hot(texts):  # a list of texts for each cell
+        facts = [anchored(pa.table({"cell": pa.array([c] * len(x), pa.int64()), "text": pa.array(x)})) for c, x in enumerate(texts)]
+        marks = shared(pa.concat_tables(facts))
+        assert all(any(m) for m in marks["flags"].to_pylist())
+        return any(m is not None for m in marks["sizes"].to_pylist())
+
+    assert not hot([[passage]] * 300)  # one run in each of many cells is little
+    assert hot([[rng.choice("xyz") * 40 + str(i) + passage for i in range(9000)]])
+
+
 def test_repeats_at_their_edges(spark, none):
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefghij") for _ in range(400))
