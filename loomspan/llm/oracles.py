@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOTH_MOST, CHAR_LEAST_CHARS, CHAR_MOST, COMMON, DOCS_LEAST, LABELLED, SYMBOLS, WORD_LEAST_WORDS, WORD_MOST, WORDS_LEAST
+from .quality import BOTH_MOST, CHAR_LEAST_CHARS, CHAR_MOST, COMMON, DOCS_LEAST, SYMBOLS, WORD_LEAST_WORDS, WORD_MOST, WORDS_LEAST
 from .secrets import BASE, INNER, MORE, OWNERS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,7 +29,7 @@ again AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM again) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
 good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-fit AS (SELECT t.*, len(w.w) AS n_words FROM t{len(classes)} t JOIN w USING (doc_id) WHERE t.doc_id IN (SELECT doc_id FROM good WHERE doc_id % (SELECT greatest(1, ceil(count(*) / {LABELLED}))::BIGINT FROM good) = 0) AND n_chars >= {CHAR_LEAST_CHARS} AND lang IS NOT NULL),
+fit AS (SELECT t.*, len(w.w) AS n_words FROM t{len(classes)} t JOIN w USING (doc_id) WHERE t.doc_id IN (SELECT doc_id FROM good) AND n_chars >= {CHAR_LEAST_CHARS} AND lang IS NOT NULL),
 enough AS (SELECT lang, sum(n_words) AS n_words, [{sums}] AS shares FROM fit GROUP BY lang HAVING count(*) >= {DOCS_LEAST} AND sum(n_words) >= {WORDS_LEAST}),
 rc AS (SELECT lang, CASE WHEN i = {len(classes)} THEN 1 - list_reduce(shares[1:{len(classes)}], lambda a, x: a + x) ELSE shares[i + 1] END AS q, i FROM enough, (SELECT unnest(range({len(classes) + 1})) AS i)),
 share AS (SELECT doc_id, lang, unnest([{shares}]) AS p, unnest(range(6)) AS i FROM t{len(classes)} WHERE n_chars >= {CHAR_LEAST_CHARS}),

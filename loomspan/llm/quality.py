@@ -1,7 +1,7 @@
 """Quality rules: repetition and length rules, and distribution divergence from language references.
 
-Only DataFrame functions; every document is judged by its own row against references that are fitted on labelled
-rows, so no document is shuffled.
+Only DataFrame functions; every document is judged by its own row against references that are fitted on all rows
+labelled as good.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ CLASSES = {"lower": r"\p{Ll}+", "space": r"\s+", "upper": r"\p{Lu}+", "point": r
 
 #: Common words of a language's reference, and labelled documents and their words that a reference needs at least.
 COMMON, DOCS_LEAST, WORDS_LEAST = 20, 20, 2_000
-#: Labelled documents that references are fitted on, about: of more, those whose id is divisible by a step.
-LABELLED = 20_000
+#: Ids of labelled documents that are broadcast at most.
+SMALL = 2_000_000
 #: lang -> (shares of the classes above among characters (the rest: anything else), {common word: share of words})
 References = dict[str, tuple[tuple[float, ...], dict[str, float]]]
 #: Greatest Jensen-Shannon distances (base 2, from 0 to 1), and the lengths below which a
@@ -95,22 +95,21 @@ def fitted_references(docs: DataFrame, labels: DataFrame, text: str = "text", la
 
     The shares of character classes and of the COMMON most frequent words (ties by the word) are those of
     all texts of a language together that are long enough to be tested. Languages of fewer than DOCS_LEAST such documents
-    or WORDS_LEAST words have none. About LABELLED documents are read; their histograms are what comes to the driver.
+    or WORDS_LEAST words have none. All labelled documents are read; only the sums and common words come to the driver.
     """
-    good = labels.filter("quality = 1").select(F.col(key).alias("_good")).distinct()
-    step = max(1, -(-good.count() // LABELLED))
-    good = written(good.filter(F.col("_good") % step == 0), "qu-good")
-    d = docs.select(F.col(key).alias("_good"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter(F.length("_t") >= CHAR_LEAST_CHARS)
-    d = joined_if_small(d, good, ["_good"], "left_semi", 10 * LABELLED)
+    good = written(labels.filter("quality = 1").select(F.col(key).alias("_good")).distinct(), "qu-good")
+    d = docs.select(F.col(key).alias("_good"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter((F.length("_t") >= CHAR_LEAST_CHARS) & F.col("_l").isNotNull())
+    d = joined_if_small(d, good, ["_good"], "left_semi", SMALL)
     lengths = [F.length("_t"), *(F.length(x) for _, x in class_lengths(F.col("_t")))]
-    d = written(d.select("_l", words(F.col("_t")).alias("_w"), *[x.cast("long").alias(f"_n{i}") for i, x in enumerate(lengths)]), "qu-words")
-    n = d.filter("_l is not null").groupBy("_l").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("_w")).alias("words"), *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(lengths))]).filter((F.col("docs") >= DOCS_LEAST) & (F.col("words") >= WORDS_LEAST))
-    each = d.select("_l", F.explode("_w").alias("w")).groupBy("_l", F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    shares = d.groupBy("_l").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(x.cast("long")).alias(f"_n{i}") for i, x in enumerate(lengths)]).filter(F.col("docs") >= DOCS_LEAST).collect()
+    each = written(d.select("_l", F.explode(words(F.col("_t"))).alias("w")).groupBy("_l", F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n")), "qu-words")
+    n_words = {r["_l"]: r["n"] for r in each.groupBy("_l").agg(F.sum("n").alias("n")).filter(F.col("n") >= WORDS_LEAST).collect()}
+    out: References = {r["_l"]: (tuple((r[f"_n{i}"] - r[f"_n{i + 1}"]) / r["_n0"] for i in range(len(CLASSES))), {}) for r in shares if r["_l"] in n_words}
     best = each.withColumn("k", F.row_number().over(Window.partitionBy("_l").orderBy(F.desc("n"), "w"))).filter(F.col("k") <= COMMON)
-    out: References = {r["_l"]: (tuple((r[f"_n{i}"] - r[f"_n{i + 1}"]) / r["_n0"] for i in range(len(CLASSES))), {}) for r in n.collect()}
-    for r in best.join(n.select("_l", "words"), "_l").orderBy("_l", "k").collect():
-        out[r["_l"]][1][r["w"]] = r["n"] / r["words"]
-    drop(good, d)
+    for r in best.orderBy("_l", "k").collect():
+        if r["_l"] in out:
+            out[r["_l"]][1][r["w"]] = r["n"] / n_words[r["_l"]]
+    drop(good, each)
     return out
 
 

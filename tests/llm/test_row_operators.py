@@ -72,6 +72,13 @@ def test_quality_references_from_labelled_rows(spark):
     assert got["en"][1] == pytest.approx({k: c / sum(w.values()) for k, c in best})
 
 
+def test_quality_references_from_all_labelled_rows(spark):
+    """However many are labelled, no row is left out."""
+    docs = spark.range(20_010).selectExpr("id AS doc_id", "repeat(IF(id % 2 = 0, 'even ', 'odd '), IF(id % 2 = 0, 60, 75)) AS text", "'en' AS lang")
+    got = quality.fitted_references(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert got["en"][1] == pytest.approx({"even": 60 / 135, "odd": 75 / 135})
+
+
 def test_quality_stage_carries_columns(spark, docs, none, tmp_path):
     spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     out = quality.quality_stage(spark, docs, str(tmp_path))
