@@ -23,14 +23,15 @@ TAG = np.uint64(31)  # the low bits of a word's hash hold its tail class
 ALPHA = 0.1
 #: Words before a token that predict it, and numbers for each word.
 WINDOW, DIM = 3, 16
-#: Every THIN-th token, from a random one on, is predicted in training; tokens of a step; noise samples of a step.
-THIN, BATCH, NOISE = 8, 2048, 64
-#: Rounds of training in all tasks, each from the mean of what the tasks made of the round before.
+#: Tokens of a step; noise samples of a step; steps that a chunk is cut into at least: few tokens make smaller steps.
+BATCH, NOISE, CUTS = 4096, 64, 8
+#: Rounds of training in all tasks, each from the mean of what the tasks made of the round before. A round predicts
+#: every ROUNDS-th token of a text, each round others: together they predict every token of every training text once.
 ROUNDS, RATE = 2, 0.05
 #: Tokens that are scored at a time: their scores stay in the processor's cache.
 PART = 2048
-#: Tokens that a task holds at a time, and how often it trains on them at least if they are all it has.
-CHUNK, STEPS = 1 << 20, 60
+#: Tokens that a task holds at a time, and steps that it takes at least, by training on them again if they are all it has.
+CHUNK, STEPS = 1 << 19, 60
 
 COUNTS = "cell long, part long, counts binary, n_train long, n_types long, n_docs long, tail_n array<long>, tail_v array<long>, words binary, often binary"
 
@@ -51,12 +52,18 @@ def text_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(hs), np.concatenate(ds)) if hs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted different values. (np.unique alone hashes: slower.)"""
+    s = np.sort(h)
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
+
+
 def _counted(n_parts: int):
     def run(t: pa.Table) -> pa.Table:
         data, off = ts.buffers(t["text"])
         h, doc = text_words(data, off)
         train = ~t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-        u = np.unique(h)
+        u = distinct(h)
         seen, n = np.unique(h[train[doc]], return_counts=True)
         c = np.zeros(len(u), np.uint32)
         c[np.searchsorted(u, seen)] = n
@@ -119,8 +126,20 @@ def with_ends(ids: np.ndarray, doc: np.ndarray, n: int, end: int) -> tuple[np.nd
     return out, before, owner
 
 
+def of_round(out: np.ndarray, before: np.ndarray, owner: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that a round predicts, by their places in their texts, and what is before them."""
+    place = np.arange(len(out)) - np.searchsorted(owner, np.arange(owner[-1] + 1 if len(owner) else 0))[owner]
+    at = place % ROUNDS == turn
+    return out[at], before[at]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Of x, in its place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _log_softmax(r: np.ndarray, x: np.ndarray, bias: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -173,9 +192,9 @@ class LogBilinear:
         return np.where(ids < self.v, ids // self.width, ids - self.v + self.n_classes)
 
     def context(self, before: np.ndarray) -> np.ndarray:
-        r = self.R[before[:, 0]] * self.P[0]
+        r = self.R.take(before[:, 0], axis=0) * self.P[0]
         for k in range(1, WINDOW):
-            r += self.R[before[:, k]] * self.P[k]
+            r += self.R.take(before[:, k], axis=0) * self.P[k]
         return r
 
     def log10(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -226,50 +245,61 @@ class Trainer:
         self.touched = {k: np.zeros(len(x)) for k, (x, _) in enumerate(model._tables())}
         self.past = [np.full((len(x), DIM + 1), 1e-2, np.float32) for x, _ in model._tables()]
         self.draw = [np.cumsum(q) / q.sum() if len(q) else q for q in (model.q1, model.q2)]
+        self.log_noise = [np.log(NOISE * q).astype(np.float32) for q in (model.q1, model.q2)]
 
     def _add(self, k: int, at: np.ndarray, g: np.ndarray) -> None:
         """Adagrad's step for rows ``at`` (repeats add up) of the k-th table."""
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at)
         s = at[order]
-        edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        u, g = s[edge], np.add.reduceat(g[order], edge, axis=0)
+        edge = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1]
+        u, g = s[edge], np.add.reduceat(g.take(order, axis=0), edge, axis=0)
         self.touched[k][u] += np.diff(np.r_[edge, len(s)])
         x, bias = self.m._tables()[k]
-        past = self.past[k][u, : g.shape[1]] + g * g
+        past = self.past[k].take(u, axis=0)[:, : g.shape[1]] + g * g
         self.past[k][u, : g.shape[1]] = past
         g = RATE * g / np.sqrt(past)
         x[u] += g[:, :DIM]
         if bias is not None:
             bias[u] += g[:, DIM]
 
-    def _level(self, k: int, r: np.ndarray, to: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def _level(self, k: int, r: np.ndarray, to: np.ndarray) -> np.ndarray:
         """One level's step; returns the gradient of r."""
         x, bias = self.m._tables()[k]
-        noise = np.minimum(np.searchsorted(self.draw[0 if k == 3 else 1], self.rng.random(NOISE)), len(q) - 1)
-        hit = 1 - _sigmoid((r * x[to]).sum(axis=1) + bias[to] - np.log(NOISE * q[to]).astype(np.float32))
-        miss = -_sigmoid(r @ x[noise].T + bias[noise] - np.log(NOISE * q[noise]).astype(np.float32))
-        gr = hit[:, None] * x[to] + miss @ x[noise]
-        g = np.r_[np.c_[hit[:, None] * r, hit], np.c_[miss.T @ r, miss.sum(axis=0)]]
+        draw, log_noise = (self.draw[0], self.log_noise[0]) if k == 3 else (self.draw[1], self.log_noise[1])
+        noise = np.minimum(np.searchsorted(draw, self.rng.random(NOISE)), len(draw) - 1)
+        mine, other, n = x.take(to, axis=0), x[noise], len(to)
+        hit = 1 - _sigmoid(np.einsum("ij,ij->i", r, mine) + (bias[to] - log_noise[to]))
+        miss = r @ other.T
+        miss += bias[noise] - log_noise[noise]
+        miss = _sigmoid(miss)
+        g = np.empty((n + NOISE, DIM + 1), np.float32)
+        np.multiply(r, hit[:, None], out=g[:n, :DIM])
+        g[:n, DIM] = hit
+        g[n:, :DIM] = -(miss.T @ r)
+        g[n:, DIM] = -miss.sum(axis=0)
         self._add(k, np.r_[to, noise], g)
-        return gr
+        mine *= hit[:, None]
+        mine -= miss @ other
+        return mine
 
     def step(self, to: np.ndarray, before: np.ndarray) -> None:
         m = self.m
         r = m.context(before)
         word = np.flatnonzero(to < m.v)
-        inner = self._level(2, r[word], to[word], m.q2) if len(word) else None
-        gr = self._level(3, r, m.classes(to), m.q1)
+        inner = self._level(2, r[word], to[word]) if len(word) else None
+        gr = self._level(3, r, m.classes(to))
         if inner is not None:
             gr[word] += inner
-        gp = np.stack([(gr * m.R[before[:, k]]).sum(axis=0) for k in range(WINDOW)])
+        gp = np.stack([np.einsum("ij,ij->j", gr, m.R.take(before[:, k], axis=0)) for k in range(WINDOW)])
         self._add(0, before.T.reshape(-1), np.concatenate([gr * m.P[k] for k in range(WINDOW)]))
         self._add(1, np.arange(WINDOW), gp)
         self.steps += 1
 
     def chunk(self, to: np.ndarray, before: np.ndarray) -> None:
         order = self.rng.permutation(len(to))
-        for a in range(0, len(to), BATCH):
-            self.step(to[order[a : a + BATCH]], before[order[a : a + BATCH]])
+        n = max(1, min(BATCH, -(-len(to) // CUTS)))
+        for a in range(0, len(to), n):
+            self.step(to[order[a : a + n]], before.take(order[a : a + n], axis=0))
 
 
 VECTOR = [f"x{i}" for i in range(DIM + 1)]
@@ -284,23 +314,24 @@ def _trained(model: LogBilinear, turn: int):
 
         def flush() -> None:
             nonlocal n
-            at = slice(int(t.rng.integers(THIN)), None, THIN)
-            t.chunk(*(np.concatenate(x)[at] for x in zip(*held)))
+            t.chunk(*(np.concatenate(x) for x in zip(*held)))
             n = 0
 
         for b in batches:
             data, off = ts.buffers(b.column(0))
             for lo, hi in ts.slices(off, 1 << 20):
                 h, doc = text_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                out, before, _ = with_ends(model.ids(h), doc, hi - lo, model.end)
-                held.append((out, before))
-                n += len(out)
+                mine, before = of_round(*with_ends(model.ids(h), doc, hi - lo, model.end), turn)
+                if not len(mine):
+                    continue
+                held.append((mine, before))
+                n += len(mine)
                 if n >= CHUNK:
                     flush()
                     held = []
         if n:
             flush()
-        for _ in range(STEPS - t.steps if held else 0):
+        while held and t.steps < STEPS:
             flush()
         if t.steps:
             row, weight, x = model.rows(t.touched)
@@ -319,7 +350,7 @@ def _scored(model: LogBilinear, stats: dict):
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=OUT)
         data, off = ts.buffers(t["text"])
         h, doc = text_words(data, off)
-        u, n = np.unique(h), t.num_rows
+        u, n = distinct(h), t.num_rows
         order = np.argsort(facts["part"].to_numpy())
         blobs = facts["counts"].to_pylist()
         counts = np.concatenate([np.frombuffer(blobs[i], np.int64) for i in order]) if len(order) else np.zeros(0, np.int64)
@@ -359,7 +390,7 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
 
     1. Every cell counts its distinct words; hash ranges of words are summed and the sums given
        back to the cells (written once); the totals give N, V, the tails' mass and the vocabulary.
-    2. The log-bilinear model is trained on all training texts, each task on its own; the mean of the
+    2. The log-bilinear model is trained on every token of all training texts, each task on its own; the mean of the
        parameters that tasks touched, weighted by how often, is where the next round begins.
     3. Every cell scores its texts. The model gives normalised probabilities of words and tails
        after every context; a word of a tail shares the tail's probability with the tail's other words by

@@ -313,6 +313,20 @@ def test_lm_vocabulary_orders_ties_by_hash():
     assert (one.ids(h) == two.ids(h)).all() and sorted(one.ids(h).tolist()) == list(range(39)) and (one.q2 == two.q2).all()
 
 
+def test_lm_trains_on_every_token(monkeypatch):
+    """The rounds together predict each token of each text, and its end, once."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((40, 1, 0, 7, 300))]
+    words = lm_score.text_words(*textscan.buffers(pa.array(texts)))[0]
+    m = lm_score.LogBilinear(words, np.full(len(words), 3), np.zeros(lm_score.TAILS), len(texts))
+    seen = collections.Counter()
+    monkeypatch.setattr(lm_score, "STEPS", 0)
+    monkeypatch.setattr(lm_score, "TaskContext", type("Task", (), {"get": lambda: type("Here", (), {"partitionId": lambda self: 0})()}))
+    monkeypatch.setattr(lm_score.Trainer, "chunk", lambda self, to, before: seen.update(to.tolist()))
+    for turn in range(lm_score.ROUNDS):
+        list(lm_score._trained(m, turn)(iter([pa.record_batch([pa.array(texts)], ["text"])])))
+    assert seen == {**{int(i): 1 for i in m.ids(words)}, m.end: len(texts)}
+
+
 def test_lm_rows_carry_all_that_training_changed():
     m = lm_score.LogBilinear(np.arange(20, dtype=np.uint64) * np.uint64(1000), np.arange(20) + 3, np.ones(lm_score.TAILS), 2)
     t, rng = m.trainer(3), np.random.default_rng(0)
