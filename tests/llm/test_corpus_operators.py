@@ -214,6 +214,16 @@ def test_packed_keys():
     assert [(p, a, z) for p, a, z in cells.ranges(np.array([1, 2, 1 << 63], np.uint64), 2)] == [(0, 0, 2), (1, 2, 3)]
 
 
+def test_ranges_of_anchors_hold_equal_shares():
+    data = np.random.default_rng(1).integers(97, 123, 400_000, np.uint8)
+    keys = np.sort(suffix_dedup.runs_of(data, np.arange(0, len(data) + 1, 1000))[0])
+    for n in (8, 40):
+        size = [z - a for _, a, z in cells.ranges(keys, n)]
+        assert len(size) == n and max(size) < 1.3 * len(keys) / n
+        # 6 bytes a key at most, however far apart they are
+        assert all(len(suffix_dedup.packed(keys[a:z])) <= 6 * (z - a) + 2 for _, a, z in cells.ranges(keys, n))
+
+
 def brute_unigrams(rows):
     tok = [cases.words((r[1] or "").translate(cases.LOWER)) + [None] for r in rows]
     held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0 for r in rows]
