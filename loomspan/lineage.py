@@ -25,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def _at(df: DataFrame, path: str):
+def located(df: DataFrame, path: str):
+    """The path's file system, and the path as that takes it."""
     jvm = df.sparkSession.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()), at
@@ -38,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, at = _at(df, path)
+    fs, at = located(df, path)
     fs.deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -48,5 +49,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Removes the files of written tables that nothing reads any more: all that was made from them is written."""
     for t in tables:
-        fs, at = _at(t, t._written_to)
+        fs, at = located(t, t._written_to)
         fs.delete(at, True)

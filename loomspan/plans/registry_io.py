@@ -17,7 +17,6 @@ from loomspan.operators import refine
 from loomspan.plans import chunk_sql, fixtures, ingest
 from loomspan.plans.fixtures import BLOCKS_SQL
 from loomspan.plans.registry import BY_BLOCK_SQL, CONTENT_SQL, MULTIPASS_SQL, SP, TITLES_SQL, flat, query
-from loomspan.schema import CHUNK
 from loomspan.sinks import chunks as S
 from loomspan.sources import drive, files
 
@@ -177,9 +176,9 @@ def jsonl_files(spark, sf_dir):
 def json_array_file(spark, sf_dir):
     """One file with a JSON array, in the order of source and index, parsed again."""
     path = os.path.join(new_folder(spark), "chunks.json")
-    S.write_json_array(C.ByBlock()(fixtures.blocks(spark, sf_dir)), path)
-    d = spark.read.text("file://" + path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<{CHUNK.simpleString()}>")).alias("place", "c"))
-    return d.select(F.col("place").cast("long").alias("place"), "c.source", "c.chunk_index", "c.page_content")
+    blocks = fixtures.blocks(spark, sf_dir).repartitionByRange("source")  # the one shuffle, for the breadcrumbs and for the order of the file
+    S.write_json_array(C.ByBlock()(blocks), path)
+    return S.read_json_array(spark, path).select("place", "source", "chunk_index", "page_content")
 
 
 @query(f"{BY_BLOCK_SQL} SELECT source, chunk_index, kind, coalesce(html, '') AS html FROM linked")

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import accumulate, islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.lineage import located, shared_folder
 from loomspan.schema import CHUNK, CHUNK_FIELDS, EXTRAS
 
 ALL_FIELDS = {"ignoreNullFields": "false"}
@@ -45,16 +51,94 @@ def write_jsonl(chunks: DataFrame, path: str, single_file: bool = False, mode: s
 
 
 def write_json_array(chunks: DataFrame, path: str, indent: int = 4) -> None:
-    """One local file with a JSON array. Rows come to the driver one partition at a time."""
-    rows = chunks.orderBy("source", "chunk_index").select(json_line().alias("value")).toLocalIterator()
-    with Path(path).open("w", encoding="utf-8") as f:
-        first = True
-        for r in rows:
-            text = json.dumps(json.loads(r["value"]), ensure_ascii=False, indent=indent)
-            pad = " " * indent
-            f.write(("[\n" if first else ",\n") + "\n".join(pad + line for line in text.split("\n")))
-            first = False
-        f.write("[]\n" if first else "\n]\n")
+    """One local file with a JSON array, in the order of source and index.
+
+    Elements are made on the executors, as parts in the shared folder; the driver appends the parts' bytes, one
+    after the other, and removes each."""
+    pad = " " * indent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                texts = [json.dumps(json.loads(x), ensure_ascii=False, indent=indent) for x in b.column(0).slice(k, 1000).to_pylist()]
+                out = ["\n".join(pad + line for line in t.split("\n")) + "," for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    jvm, parts = chunks.sparkSession.sparkContext._jvm, f"{shared_folder(chunks.sparkSession)}/array-{uuid.uuid4().hex}"
+    fs, at = located(chunks, parts)
+    try:
+        chunks.orderBy("source", "chunk_index").select(json_line().alias("value")).mapInArrow(run, "value string").write.text(parts)
+        found = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")]
+        with Path(path).open("wb") as f:
+            f.write(b"[\n")
+        out = jvm.java.io.FileOutputStream(str(Path(path).absolute()), True)
+        try:
+            for p in sorted(found, key=lambda p: (int(p.getName().split("-")[1]), p.getName())):
+                part = fs.open(p)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+                fs.delete(p, False)
+        finally:
+            out.close()
+    finally:
+        fs.delete(at, True)
+    with Path(path).open("r+b") as f:
+        size = f.seek(0, 2)
+        f.truncate(size - (2 if size > 2 else 1))  # the last comma and line break, or that of "["
+        f.seek(0, 2)
+        f.write(b"\n]\n" if size > 2 else b"]\n")
+
+
+#: Bytes of an array's file that a task reads, besides the rest of its last element.
+RANGE = 16 << 20
+
+
+def _bodies(path: str, mark: bytes, begin: int, end: int) -> Iterator[bytes]:
+    """What follows each mark that begins in [begin, end), up to the next mark."""
+    with open(path, "rb") as f:
+        f.seek(begin)
+        *whole, last = f.read(end - begin + len(mark) - 1).split(mark)
+        if not whole:
+            return
+        yield from whole[1:]
+        rest = bytearray(last)
+        while (found := rest.find(mark, max(0, len(rest) - (1 << 20) - len(mark)))) < 0 and (more := f.read(1 << 20)):
+            rest += more
+        yield bytes(rest if found < 0 else rest[:found])
+
+
+def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of a file that write_json_array made, with their place in the array.
+
+    The file, which all executors reach, is read in ranges of bytes: an element begins at a line that is no more
+    than the indent and a brace, which no line inside of an element is. A first pass counts each range's elements."""
+    with open(path, "rb") as f:
+        head = f.read(1024)
+    if not (begins := re.match(rb"\[(\n *\{\n)", head)) and head != b"[]\n":
+        raise ValueError(f"{path} isn't an array as write_json_array writes it")
+    mark, step, size = begins[1] if begins else b"\n{\n", RANGE, os.path.getsize(path)
+    n = -(-size // step)
+    ranges = spark.range(0, n, 1, n)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i in (i for b in batches for i in b.column(0).to_pylist()):
+            with open(path, "rb") as f:
+                f.seek(i * step)
+                k = f.read(step + len(mark) - 1).count(mark)
+            yield pa.RecordBatch.from_pydict({"id": [i], "n": [k]})
+
+    firsts = list(accumulate((r["n"] for r in sorted(ranges.mapInArrow(count, "id long, n long").collect())), initial=0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i in (i for b in batches for i in b.column(0).to_pylist()):
+            bodies, place = _bodies(path, mark, i * step, (i + 1) * step), firsts[i]
+            while some := [(b"{" + x[: x.rindex(b"}") + 1]).decode() for x in islice(bodies, 1000)]:
+                yield pa.RecordBatch.from_arrays([pa.array(range(place, place + len(some)), pa.int64()), pa.array(some, pa.string())], ["place", "value"])
+                place += len(some)
+
+    return ranges.mapInArrow(run, "place long, value string").select("place", F.from_json("value", CHUNK).alias("c")).select("place", "c.*")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

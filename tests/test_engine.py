@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import strings, tokens, vectors
 from loomspan.operators import chunkers, folds, refine, similarity
-from loomspan.plans import ingest
+from loomspan.plans import ingest, registry_io
 from loomspan.schema import BLOCK, CHUNK
 from loomspan.sinks import chunks as sinks
 from loomspan.sources import files
@@ -175,6 +175,36 @@ def test_sinks(spark, output, tmp_path):
         sinks.formatted(chunks, "nope")
 
 
+def test_json_array_in_ranges(spark, tmp_path, monkeypatch):
+    """The file is what json gives; it is read in many ranges, also where an element is longer than some."""
+    monkeypatch.setattr(sinks, "RANGE", 2000)
+    texts = ["x" * 5000, '\n    {\n', "é}],\r\u2028", '"\\"', ""] * 4
+    rows = [("d%02d" % (i % 7), "text", t, 0, [0, 0, 1, i], 0, "", "", [], [], i, i, "{}") for i, t in enumerate(texts)]
+    chunks = chunkers.ByBlock()(spark.createDataFrame(rows, BLOCK).repartition(5))
+    want = [json.loads(r.value) for r in chunks.orderBy("source", "chunk_index").select(sinks.json_line().alias("value")).collect()]
+    for indent in (4, 0):
+        path = str(tmp_path / f"{indent}.json")
+        sinks.write_json_array(chunks, path, indent)
+        pad = " " * indent
+        assert open(path, newline="").read() == "[\n" + ",\n".join("\n".join(pad + x for x in json.dumps(w, ensure_ascii=False, indent=indent).split("\n")) for w in want) + "\n]\n"
+        d = sinks.read_json_array(spark, path)
+        assert d.rdd.getNumPartitions() == -(-os.path.getsize(path) // 2000)
+        got = sorted(d.collect(), key=lambda r: r.place)
+        assert [r.place for r in got] == list(range(len(texts)))
+        assert [(r.source, r.chunk_index, r.page_content, r.position_int) for r in got] == [(w["source"], w["chunk_index"], w["page_content"], w["position_int"]) for w in want]
+    sinks.write_json_array(chunks.filter("false"), path)
+    assert open(path).read() == "[]\n" and sinks.read_json_array(spark, path).count() == 0
+    (tmp_path / "other.json").write_text('[{"source": "a"}]')
+    with pytest.raises(ValueError):
+        sinks.read_json_array(spark, str(tmp_path / "other.json"))
+
+
+def test_json_array_query_reads_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "RANGE", 100_000)
+    d = registry_io.json_array_file(spark, "/root/testdata/sf0.001")
+    assert d.rdd.getNumPartitions() > 5 and d.agg({"place": "max"}).first()[0] == d.count() - 1
+
+
 def test_web_names_and_download(spark, tmp_path):
     urls = ["https://h.example:8080/a/b?x=1", "https://h.example:8080/a/b?x=2", "https://h.example/bad"]
 
