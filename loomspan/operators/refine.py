@@ -69,7 +69,11 @@ def refine(chunks: DataFrame, tokenizer: object = "quarter", hasher: Callable[[C
         d = d.withColumn("extras", F.when(image, F.col("extras").withField("img_path", F.lit(None).cast("string")).withField("image_b64", F.lit(None).cast("string"))).otherwise(F.col("extras")))
     elif images is not None and image_mode in ("path", "base64"):
         found = images.select(F.regexp_replace("path", "^file:/*", "/").alias("_found"), *([F.base64("content").alias("_data")] if image_mode == "base64" else []))
-        d = d.withColumn("_want", F.when(image, image_path(base_dir))).join(found, F.col("_want") == F.col("_found"), "left")
+        # rows that want no image have a null key; by the second key they are spread, by
+        # source and thousands, instead of meeting in one task
+        d = d.withColumn("_want", F.when(image, image_path(base_dir)))
+        d = d.withColumn("_spread", F.when(F.col("_want").isNull(), F.xxhash64("source", "granularity", F.floor(F.col("chunk_index") / 1000))).otherwise(F.xxhash64("_want")))
+        d = d.join(found.withColumn("_at", F.xxhash64("_found")), (F.col("_want") == F.col("_found")) & (F.col("_spread") == F.col("_at")), "left")
         if image_mode == "path":
             new = F.col("extras").withField("img_path", F.col("_found"))
         else:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomspan import lineage
 from loomspan.functions import strings
 from loomspan.operators import context, folds, refine, similarity
-from loomspan.operators.chunkers import BySection
+from loomspan.operators.chunkers import ByBlock, BySection
 from loomspan.plans import ingest
 from loomspan.schema import BLOCK
 from loomspan.sources import files
@@ -134,3 +134,24 @@ def test_context_by_a_model_that_takes_the_shared_part_apart(spark):
     chunks = BySection()(spark.createDataFrame([block(0, "text", "one two")], BLOCK))
     r = refine.add_context(chunks, Model()).first()
     assert sum(map(int, r.chunk_context.split("+"))) == len(refine.CONTEXT_PROMPT.format("one two", "one two")) and r.doc_summary == "summary"
+
+
+@pytest.mark.parametrize("mode", ["path", "base64"])
+def test_chunks_without_images_are_spread(spark, mode):
+    """Beside images, rows that want none are joined in tasks of about equal size."""
+    kinds = ["text"] * 7 + ["image"]
+    rows = [(f"/a/s{i % 40}.pdf", kinds[i % 8], "t", 0, [0, 0, 1, 1], 0, "", f"{i}.png" if kinds[i % 8] == "image" else "", [], [], i, i, "{}") for i in range(800)]
+    chunks = ByBlock()(spark.createDataFrame(rows, BLOCK))
+    images = spark.createDataFrame([(f"file:/a/{i}.png", b"x") for i in range(7, 800, 16)], "path string, content binary")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        d = refine.refine(chunks, images=images, base_dir="/a", image_mode=mode)
+        each = [r[0] for r in d.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        got = d.select("extras.img_path", "extras.image_b64").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(each) == 800 and max(each) < 400
+    assert sum(r.image_b64 == "data:image/png;base64,eA==" if mode == "base64" else (r.img_path or "").startswith("/a/") for r in got) == 50
