@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,18 @@ def as_chunks(df: DataFrame) -> DataFrame:
     return df.select([(F.col(f.name) if f.name in df.columns else empty[f.name]).cast(f.dataType).alias(f.name) for f in CHUNK])
 
 
+class Folding(Chunker):
+    """A chunker that folds over each document in order."""
+
+    include_discarded: bool
+
+    def folding(self) -> Callable[[list[folds.Block]], list[folds.Chunk]]:
+        raise NotImplementedError
+
+    def __call__(self, blocks: DataFrame) -> DataFrame:
+        return folds.fold(kept(blocks, self.include_discarded), self.folding())
+
+
 def kept(blocks: DataFrame, discarded: bool) -> DataFrame:
     return blocks if discarded else blocks.filter("kind <> 'discarded'")
 
@@ -121,7 +134,7 @@ class FixedSize(Chunker):
 
 
 @dataclass(frozen=True)
-class ByToken(Chunker):
+class ByToken(Folding):
     max_tokens: int = 512
     overlap_tokens: int = 64
     tokenizer: object = None
@@ -131,13 +144,13 @@ class ByToken(Chunker):
         check(self.max_tokens > 0, "max_tokens must be positive")
         check(0 <= self.overlap_tokens < self.max_tokens, "overlap_tokens must be at least 0 and below max_tokens")
 
-    def __call__(self, blocks: DataFrame) -> DataFrame:
+    def folding(self) -> Callable[[list[folds.Block]], list[folds.Chunk]]:
         count, most, overlap, discarded = tokens.resolve(self.tokenizer).count, self.max_tokens, self.overlap_tokens, self.include_discarded
-        return folds.fold(kept(blocks, discarded), lambda b: folds.token_chunks(b, count, most, overlap, discarded))
+        return lambda b: folds.token_chunks(b, count, most, overlap, discarded)
 
 
 @dataclass(frozen=True)
-class BySentence(Chunker):
+class BySentence(Folding):
     chunk_size: int = 512
     chunk_overlap: int = 128
     reserved_tokens: int = 0
@@ -159,13 +172,13 @@ class BySentence(Chunker):
     def rules(self) -> folds.SentenceRules:
         return folds.SentenceRules(self.chunk_size, self.chunk_overlap, self.reserved_tokens, self.min_sentences, self.min_chars, tuple(self.delimiters), self.include_delim, self.include_discarded, self.compat)
 
-    def __call__(self, blocks: DataFrame) -> DataFrame:
+    def folding(self) -> Callable[[list[folds.Block]], list[folds.Chunk]]:
         count, rules = tokens.resolve(self.tokenizer).count, self.rules()
-        return folds.fold(kept(blocks, self.include_discarded), lambda b: folds.sentence_chunks(b, count, rules))
+        return lambda b: folds.sentence_chunks(b, count, rules)
 
 
 @dataclass(frozen=True)
-class Recursive(Chunker):
+class Recursive(Folding):
     chunk_size: int = 512
     min_chars: int = 24
     levels: tuple = folds.RECURSIVE_LEVELS
@@ -177,13 +190,13 @@ class Recursive(Chunker):
         check(self.chunk_size > 0, "chunk_size must be positive")
         check(self.min_chars >= 1, "min_chars must be at least 1")
 
-    def __call__(self, blocks: DataFrame) -> DataFrame:
+    def folding(self) -> Callable[[list[folds.Block]], list[folds.Chunk]]:
         count, me = tokens.resolve(self.tokenizer).count, self
-        return folds.fold(kept(blocks, self.include_discarded), lambda b: folds.recursive_chunks(b, count, me.chunk_size, me.levels, me.min_chars, me.include_discarded, me.hard_split))
+        return lambda b: folds.recursive_chunks(b, count, me.chunk_size, me.levels, me.min_chars, me.include_discarded, me.hard_split)
 
 
 @dataclass(frozen=True)
-class Semantic(Chunker):
+class Semantic(Folding):
     embedder: object = None
     threshold_type: str = "percentile"
     threshold: float = 25.0
@@ -200,10 +213,10 @@ class Semantic(Chunker):
         check(self.skip_window >= 0, "skip_window must not be negative")
         check(self.smooth_window >= 1, "smooth_window must be at least 1")
 
-    def __call__(self, blocks: DataFrame) -> DataFrame:
+    def folding(self) -> Callable[[list[folds.Block]], list[folds.Chunk]]:
         embed = vectors.resolve_embedder(self.embedder)
         rules = folds.SemanticRules(self.threshold_type, self.threshold, self.skip_window, self.smooth_window, self.smooth_order, self.minima, self.min_chars, discarded=self.include_discarded)
-        return folds.fold(kept(blocks, self.include_discarded), lambda b: folds.semantic_chunks(b, embed, rules))
+        return lambda b: folds.semantic_chunks(b, embed, rules)
 
 
 def halfway(passages: list[str], first: int, end: int) -> int:
@@ -214,7 +227,7 @@ def halfway(passages: list[str], first: int, end: int) -> int:
 
 
 @dataclass(frozen=True)
-class Guided(Chunker):
+class Guided(Folding):
     """A model names where chunks end; ``choose`` gets numbered passages and their range."""
 
     choose: Callable[[list[str], int, int], int] = halfway
@@ -230,13 +243,13 @@ class Guided(Chunker):
         check(0 < self.candidate_size <= self.chunk_size, "candidate_size must be positive and at most chunk_size")
         check(self.min_chars >= 1 and self.max_retries >= 1, "min_chars and max_retries must be at least 1")
 
-    def __call__(self, blocks: DataFrame) -> DataFrame:
+    def folding(self) -> Callable[[list[folds.Block]], list[folds.Chunk]]:
         count, me = tokens.resolve(self.tokenizer).count, self
-        return folds.fold(kept(blocks, self.include_discarded), lambda b: folds.guided_chunks(b, count, me.choose, me.chunk_size, me.candidate_size, me.min_chars, me.include_discarded, me.max_retries))
+        return lambda b: folds.guided_chunks(b, count, me.choose, me.chunk_size, me.candidate_size, me.min_chars, me.include_discarded, me.max_retries)
 
 
 @dataclass(frozen=True)
-class Multipass(Chunker):
+class Multipass(Folding):
     """Sentence chunks, and coarser levels that pack the chunks of the level before."""
 
     base: BySentence = BySentence(chunk_size=150, chunk_overlap=0)
@@ -245,10 +258,14 @@ class Multipass(Chunker):
     parent_links: bool = True
     tokenizer: object = None
 
-    def __call__(self, blocks: DataFrame) -> DataFrame:
+    @property
+    def include_discarded(self) -> bool:
+        return self.base.include_discarded
+
+    def folding(self) -> Callable[[list[folds.Block]], list[folds.Chunk]]:
         me, rules = self, self.base.rules()
         count, own = tokens.resolve(self.tokenizer).count, tokens.resolve(self.base.tokenizer).count
-        return folds.fold(kept(blocks, self.base.include_discarded), lambda b: folds.multipass_chunks(folds.sentence_chunks(b, own, rules), count, me.base_name, list(me.levels), me.parent_links))
+        return lambda b: folds.multipass_chunks(folds.sentence_chunks(b, own, rules), count, me.base_name, list(me.levels), me.parent_links)
 
 
 STRATEGIES: dict[str, type] = {
@@ -265,3 +282,13 @@ def chunker(strategy: str | Chunker, **options: object) -> Chunker:
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(sorted(STRATEGIES))}")
     return STRATEGIES[strategy](**options)
+
+
+def numbers(blocks: DataFrame, by: dict[str, Chunker]) -> DataFrame:
+    """(strategy, source, chunk_index): all chunks by several chunkers, under their names; those that fold share one pass."""
+    out = [c(blocks).select(F.lit(name).alias("strategy"), "source", "chunk_index") for name, c in by.items() if not isinstance(c, Folding)]
+    for discarded in (False, True):
+        fns = {name: c.folding() for name, c in by.items() if isinstance(c, Folding) and c.include_discarded == discarded}
+        if fns:
+            out.append(folds.fold_numbers(kept(blocks, discarded), fns))
+    return reduce(DataFrame.unionByName, out)

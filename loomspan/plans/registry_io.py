@@ -157,11 +157,13 @@ def run_pipeline(spark, sf_dir):
 @query(f"{BY_BLOCK_SQL}, names AS (SELECT unnest(['by_block', 'by_page', 'by_section', 'fixed_size', 'by_token', 'by_sentence', 'by_recursive', 'recursive', 'by_semantic', 'semantic', 'by_slumber', 'slumber', 'guided', 'multipass']) AS strategy) SELECT strategy, count(DISTINCT source) AS n_sources, bool_and(chunk_index >= 0) AS numbered FROM linked, names GROUP BY strategy")
 def strategies(spark, sf_dir):
     """Every strategy by each of its names: all sources come out of it, numbered."""
-    b, out = fixtures.blocks(spark, sf_dir), None
+    names: dict[C.Chunker, list[str]] = {}
     for name in C.STRATEGIES:
-        d = C.chunker(name)(b).groupBy(F.lit(name).alias("strategy")).agg(F.countDistinct("source").alias("n_sources"), F.bool_and(F.col("chunk_index") >= 0).alias("numbered"))
-        out = d if out is None else out.unionByName(d)
-    return out
+        names.setdefault(C.chunker(name), []).append(name)  # equal chunkers make the same chunks
+    d = C.numbers(fixtures.blocks(spark, sf_dir), {n[0]: c for c, n in names.items()})
+    d = d.groupBy("strategy").agg(F.countDistinct("source").alias("n_sources"), F.bool_and(F.col("chunk_index") >= 0).alias("numbered"))
+    every = F.create_map(*[x for n in names.values() for x in (F.lit(n[0]), F.array(*map(F.lit, n)))])
+    return d.select(F.explode(F.element_at(every, F.col("strategy"))).alias("strategy"), "n_sources", "numbered")
 
 
 @query(f"{BY_BLOCK_SQL} SELECT source, chunk_index, page_content, title_path, kind, token_count::INTEGER AS token_count, md5(source || chr(0) || chunk_index || chr(0) || page_content) AS content_hash FROM linked")

@@ -94,6 +94,16 @@ def test_every_strategy(spark, output, strategy):
         assert len(r.content_hash) == 16 and r.token_count >= 0
 
 
+def test_numbers_by_several_chunkers(spark):
+    """Chunkers that fold share a pass, of which each document's chunks come out as by each alone."""
+    blocks = spark.createDataFrame([(f"d{i % 3}", k, t, i, [0, 0, 1, 1], 1 if k == "title" else 0, "", "", [], [], i, i, "{}") for i, (k, t) in enumerate([("title", "T"), ("text", "One. Two is longer. Three!"), ("table", "x"), ("discarded", "9"), ("text", "a b " * 900)] * 6)], BLOCK)
+    by = {n: c() for n, c in chunkers.STRATEGIES.items()} | {"with discarded": chunkers.ByToken(include_discarded=True)}
+    want = sorted((n, r.source, r.chunk_index) for n, c in by.items() for r in c(blocks).select("source", "chunk_index").collect())
+    assert sorted(map(tuple, chunkers.numbers(blocks, by).collect())) == want
+    plan = registry_io.strategies(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_empty_blocks(spark):
     none = spark.createDataFrame([], BLOCK)
     for make in set(chunkers.STRATEGIES.values()):
