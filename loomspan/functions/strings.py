@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,11 +61,15 @@ def split_sentences(text: Column, delimiters: list[str], include: str | None, le
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(text)))
 
 
+@lru_cache(256)
+def _pattern(delimiters: tuple[str, ...]) -> re.Pattern:
+    return re.compile("(" + "|".join(re.escape(d) for d in sorted(delimiters, key=len, reverse=True)) + ")")
+
+
 def split_sentences_py(text: str, delimiters: list[str], include: str | None, least: int) -> list[str]:
     """The same in Python, for folds that need it there."""
-    pattern = "(" + "|".join(re.escape(d) for d in sorted(delimiters, key=len, reverse=True)) + ")"
     with_cuts = {"prev": "\\1" + CUT, "next": CUT + "\\1", None: CUT}[include]
-    parts = (p.replace(KEPT, MARK).strip() for p in re.sub(pattern, with_cuts, text.replace(MARK, KEPT)).split(CUT))
+    parts = (p.replace(KEPT, MARK).strip() for p in _pattern(tuple(delimiters)).sub(with_cuts, text.replace(MARK, KEPT)).split(CUT))
     return [p for p in parts if len(p) >= least] or [text.strip()]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
+@lru_cache(256)
 def savitzky_golay(window: int, order: int, derivative: int = 0) -> np.ndarray:
     """Row i: the weights that give the value, or a derivative, at place i of a window from the polynomial of the
     given order that fits the window best. The middle row smooths, the others serve the edges."""
@@ -37,17 +39,28 @@ def savitzky_golay(window: int, order: int, derivative: int = 0) -> np.ndarray:
     at = np.zeros_like(powers)
     for j in range(derivative, order + 1):
         at[:, j] = np.prod(np.arange(j - derivative + 1, j + 1), initial=1.0) * powers[:, j - derivative]
-    return at @ np.linalg.pinv(powers)
+    out = at @ np.linalg.pinv(powers)
+    out.flags.writeable = False
+    return out
 
 
 def hashed(text: str, size: int = 64) -> list[float]:
     """A deterministic bag-of-words embedding: each word adds to the places its hash names."""
-    v = np.zeros(size)
+    v = [0.0] * size
     for w in text.lower().split():
         h = zlib.crc32(w.encode())
         v[h % size] += 1.0
         v[(h >> 16) % size] += -1.0 if h & 0x8000 else 1.0
-    return v.tolist()
+    return v
+
+
+def percentile(values: np.ndarray, q: float) -> float:
+    """np.percentile of one dimension, to the last bit, without what that takes for each short run."""
+    x = np.sort(values).tolist()
+    at = (len(x) - 1) * (q / 100)
+    i = int(at)
+    t, a, b = at - i, x[i], x[min(i + 1, len(x) - 1)]
+    return b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t
 
 
 def resolve_embedder(embedder: object = None) -> Callable[[list[str]], list[list[float]]]:

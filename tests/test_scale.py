@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan import lineage
-from loomspan.functions import strings
+from loomspan.functions import strings, vectors
 from loomspan.operators import context, folds, refine, similarity
 from loomspan.operators.chunkers import ByBlock, BySection
 from loomspan.plans import ingest
@@ -155,3 +155,11 @@ def test_chunks_without_images_are_spread(spark, mode):
             spark.conf.set(k, v)
     assert sum(each) == 800 and max(each) < 400
     assert sum(r.image_b64 == "data:image/png;base64,eA==" if mode == "base64" else (r.img_path or "").startswith("/a/") for r in got) == 50
+
+
+def test_percentiles_of_short_runs():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 4, 5, 8, 13, 100, 1001):
+        for q in (0, 5, 25, 25.0, 33.3, 50, 75, 99.9, 100):
+            x = np.round(rng.random(n), 9)
+            assert vectors.percentile(x, q) == np.percentile(x, q), (n, q)
